@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm._io import table
+from tracemill.llm._io import cut, table
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +26,48 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kneser-Ney language identification; unlike the operator's rejection, every text with letters gets a language."""
+    from tracemill.llm import language_id as lid
+
+    docs = table(spark, sf_dir, "documents")
+    out = lid.identify(docs, lid.train(docs))
+    return out.select(F.col("id").alias("doc_id"), "held_out", "lang_pred", "score", "cross_entropy", "accepted")
+
+
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-permutation MinHash of each text and of its edit with the next text."""
+    from tracemill.llm.minhash import fingerprint_with_next
+
+    return fingerprint_with_next(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all documents' ids as a content-addressed store and read it back."""
+    import public_tokenizers
+
+    from tracemill.llm import token_store as ts
+
+    store = ts.write_store(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), words_only=True, end_id=2)
+    return ts.read_digests(spark, store).withColumnRenamed("id", "doc_id")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack all documents' ids into sequences of 1024."""
+    import public_tokenizers
+
+    from tracemill.llm import packing
+
+    docs = table(spark, sf_dir, "documents")
+    pieces = cut(packing.cut_and_digest(docs, public_tokenizers.path("byte_bpe_50k.json"), words_only=False, end_id=2, room=1024), "pieces")
+    return packing.pack(pieces, room=1024).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
+    "op3_token_store": op3_token_store,
+    "op6_packing": op6_packing,
+    "op2_language_id": op2_language_id,
+    "op9_minhash": op9_minhash,
     "op4_sharding": op4_sharding,
     "op10_simhash": op10_simhash,
 }
