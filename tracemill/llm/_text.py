@@ -33,15 +33,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class SpanHasher:
+    """Hashes of spans of one buffer, equal for equal content wherever it stands."""
+
+    def __init__(self, buf: np.ndarray):
+        n = len(buf)
+        pow_, self.inv = _powers(n + 1)
+        self.sums = np.empty(n + 1, np.uint64)
+        self.sums[0] = 0
+        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * pow_[:n], out=self.sums[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        h = (self.sums[ends] - self.sums[starts]) * self.inv[starts]
+        return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of the bytes of each span, equal for equal bytes wherever they stand."""
-    n = len(buf)
-    pow_, inv = _powers(n + 1)
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * pow_[:n], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * inv[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return SpanHasher(buf)(starts, ends)
 
 
 def spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

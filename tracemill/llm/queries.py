@@ -63,7 +63,34 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, room=1024).withColumnRenamed("id", "doc_id")
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages, site templates removed."""
+    from tracemill.llm.html_text import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
+def op5_metric_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact top 10 by integer inner product over M-trees."""
+    from tracemill.llm.metric_tree import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), k=10, query_every=100)
+
+
+def op8_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled segmentations of all documents, decoded and compared."""
+    import public_tokenizers
+
+    from tracemill.llm.piece_lattice import round_trip
+
+    out = round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), alpha=1.0, seed=1)
+    return out.withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
+    "op5_metric_tree": op5_metric_tree,
+    "op8_piece_lattice": op8_piece_lattice,
+    "op7_html_text": op7_html_text,
     "op3_token_store": op3_token_store,
     "op6_packing": op6_packing,
     "op2_language_id": op2_language_id,
@@ -72,4 +99,18 @@ QUERIES = {
     "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_metric_tree": """
+with e as (
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as v from embeddings
+  where embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) as score
+  from e q join e c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0
+), r as (
+  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s
+)
+select query_id, rank, vec_id, score from r where rank <= 10
+""",
+}
