@@ -87,7 +87,15 @@ def op8_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op1_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that an earlier document holds too, at 0.8 of their words."""
+    from tracemill.llm.chaining import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id").withColumnRenamed("source_id", "source_doc_id")
+
+
 QUERIES = {
+    "op1_chaining": op1_chaining,
     "op5_metric_tree": op5_metric_tree,
     "op8_piece_lattice": op8_piece_lattice,
     "op7_html_text": op7_html_text,
