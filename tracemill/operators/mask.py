@@ -49,24 +49,24 @@ def training_text(messages: Column, spec: TemplateSpec, override_tag: str | None
 
 
 def masked_labels(ids: Column, think_start: Column, response_start: Column, masked: MaskType, ignore_index: int = IGNORE) -> Column:
-    """ids with ``ignore_index`` in the masked parts; a NULL ``think_start`` is no block."""
-    rules = []
-    if MaskType.PROMPT in masked:
-        rules.append(lambda i: i < F.coalesce(think_start, response_start))
-    if MaskType.THINK in masked:
-        rules.append(lambda i: F.coalesce((i >= think_start) & (i < response_start), F.lit(False)))
-    if MaskType.RESPONSE in masked:
-        rules.append(lambda i: i >= response_start)
-    if not rules:
-        return ids
-
-    def label(x: Column, i: Column) -> Column:
-        hit = rules[0](i)
-        for rule in rules[1:]:
-            hit = hit | rule(i)
-        return F.when(hit, F.lit(ignore_index)).otherwise(x)
-
-    return F.transform(ids, label)
+    """ids with ``ignore_index`` in the masked parts; a NULL ``think_start`` is no block.
+
+    The parts are at most three stretches, so labels are put together from slices: nothing that is
+    costly to find stands in a lambda, where the optimizer would have it found for each element.
+    """
+    n = F.size(ids)
+    reply = F.least(response_start, n)
+    block = F.least(F.coalesce(think_start, response_start), n)  # where the prompt ends
+    low, high = F.least(block, reply), F.greatest(block, reply)
+
+    def stretch(begin: Column, end: Column, hidden: bool) -> Column:
+        return F.array_repeat(F.lit(ignore_index), end - begin) if hidden else F.slice(ids, begin + 1, end - begin)
+
+    # a block that opens only after the response began leaves prompt and response overlapping
+    early = stretch(low, high, MaskType.THINK in masked)
+    late = stretch(low, high, bool(masked & (MaskType.PROMPT | MaskType.RESPONSE)))
+    middle = F.when(block <= reply, early).otherwise(late)
+    return F.concat(stretch(F.lit(0), low, MaskType.PROMPT in masked), middle, stretch(high, n, MaskType.RESPONSE in masked))
 
 
 def apply_mask(
