@@ -24,6 +24,8 @@ from tracemill.llm.components import components
 #: (first bit, bits) of the ring's segments, and how many bits two fingerprints may differ in.
 SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 MOST_DIFFERENT = 4
+#: Bits of an index key below its number.
+KEY_BITS = 20
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -142,12 +144,11 @@ def ring_links(distinct: DataFrame) -> DataFrame:
     fp = F.col("fp")
     keys = []
     for number, parts in ring_keys():
-        key = F.lit(number).cast("long")
+        key = F.lit(number << (KEY_BITS - sum(n for _, n in parts))).cast("long")
         for start, n in parts:
             key = F.shiftleft(key, n).bitwiseOR(F.shiftrightunsigned(fp, start).bitwiseAND(F.lit((1 << n) - 1)))
         keys.append(key)
     rows = distinct.select(F.explode(F.array(*keys)).alias("key"), "fp", "rep")
-    parts_of = ring_keys()
 
     def links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray) -> pa.RecordBatch:
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -155,8 +156,7 @@ def ring_links(distinct: DataFrame) -> DataFrame:
         one, two = [], []
         # small groups: neighbours at each distance, over all groups at once
         small = np.repeat(sizes <= 32, sizes)
-        start_seg = np.empty(len(key), np.int64)
-        start_seg[:] = segment_of(key)
+        start_seg = (key >> KEY_BITS) // 2
         for d in range(1, 32):
             at = np.flatnonzero(small[:-d] & (key[:-d] == key[d:])) if d < len(key) else np.empty(0, np.int64)
             if not len(at):
@@ -173,12 +173,6 @@ def ring_links(distinct: DataFrame) -> DataFrame:
         cat = lambda x: pa.array(np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64))
         return pa.RecordBatch.from_arrays([cat(one), cat(two)], names=["a", "b"])
 
-    def segment_of(key: np.ndarray) -> np.ndarray:
-        seg = np.zeros(len(key), np.int64)
-        for number, parts in parts_of:
-            seg[(key >> sum(n for _, n in parts)) == number] = number // 2
-        return seg
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         for batch in batches:
