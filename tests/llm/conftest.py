@@ -16,11 +16,12 @@ def texts() -> list[tuple[int | None, str | None]]:
     """Nulls, empty and white texts, copies, near copies, shared passages, a long text, odd characters."""
     rng = random.Random(5)
     base = [words(rng, rng.randint(1, 160)) for _ in range(30)]
-    passage = words(rng, 70)
+    passage, twice = words(rng, 70), words(rng, 80)
     near = base[3].split()
     rows: list[tuple[int | None, str | None]] = list(enumerate(base))
     rows += [(40 + i, base[2]) for i in range(12)]
     rows += [(60, " ".join(near[:-1] + ["changed"])), (61, None), (62, ""), (63, " \n\t"), (64, base[4] + " " + passage), (65, passage + "\n" + base[5]), (66, base[6] + " " + passage + " " + base[7])]
+    rows += [(72, words(rng, 20) + " " + twice), (73, "some words before it\n" + twice + " and words after it")]
     rows += [(67, "é 日本語 ▁ 😀 <|endoftext|> ß"), (68, words(rng, 9000)), (69, "word " * 300), (70, ""), (61, None), (5, base[5]), (None, "no id here"), (None, None)]
     return rows
 

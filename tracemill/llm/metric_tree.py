@@ -233,8 +233,7 @@ def top_k(df: DataFrame, k: int = 10, query_every: int = 100, id_col: str = "vec
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     near_by = cut(searched(queries.select("id", "v", F.lit(None).cast("double").alias("limit"))), "nearby")
     kth = near_by.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") == k).select(F.col("query_id").alias("id"), "score")
-    asked = queries.join(kth, "id", "left").select(
-        "id", "v", F.coalesce(F.sqrt(F.greatest(F.lit(0.0), norm + F.lit(float(top)) - 2 * F.col("score"))), F.lit(float("inf"))).alias("limit")
-    )
+    reach = F.sqrt(F.greatest(F.lit(0.0), norm + F.lit(float(top)) - 2 * F.col("score")))
+    asked = queries.join(kth, "id", "left").select("id", "v", F.when(F.col("score").isNull(), F.lit(float("inf"))).otherwise(reach).alias("limit"))
     found = near_by.unionByName(searched(asked))
     return found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

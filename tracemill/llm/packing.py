@@ -2,8 +2,8 @@
 
 Pieces are dealt to partitions of bounded size; each is packed by best-fit decreasing and gets a
 lower bound from dual-feasible functions. A partition whose bins meet the bound is done. Partitions
-with a gap exchange what lies in their bins that are not full: these pieces are dealt anew over all
-such partitions and packed again, and the new bins stand if they are fewer.
+with a gap exchange what lies in their bins that are not full: these pieces are dealt anew over
+half as many partitions for their number and packed again, and the new bins stand if they are fewer.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from tracemill.llm._io import cut, discard, small_batches
 from tracemill.llm._text import buffers
 from tracemill.llm.tokens import encoder
 
-#: Pieces a partition holds at most, on average; what one task packs.
+#: Pieces of a partition on average, twice and four times as many in the rounds of exchange; what one task packs.
 PARTITION = 200_000
 
 
@@ -140,7 +140,7 @@ def pack(pieces: DataFrame, room: int = 1024, rounds: int = 2) -> DataFrame:
         m = loose.count()
         if not m:
             break
-        again = cut(_packed(loose, room, turn, -(-m // PARTITION)), "repacked")
+        again = cut(_packed(loose, room, turn, -(-m // (PARTITION << turn))), "repacked")
         many = lambda df: df.select("round", "part", "bin").distinct().count()
         if many(again) >= many(loose):
             discard(again)
