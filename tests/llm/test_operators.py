@@ -451,6 +451,15 @@ def test_dropping_passages(docs, texts):
     assert 2 in got
 
 
+def test_two_passages_with_other_words_between(spark):
+    rng = np.random.default_rng(9)
+    w = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    one, two = w(60), w(70)
+    rows = [(1, " ".join([w(30), one, w(100), two, w(5)])), (2, " ".join([one, w(110), two])), (3, w(200))]
+    got = chaining.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["id"], r["start_word"], r["end_word"], r["source_start"]) for r in got) == [(2, 0, 60, 30), (2, 170, 240, 190)]
+
+
 def test_fuzzy_passage():
     rng = np.random.default_rng(6)
     a = [f"w{x}" for x in rng.integers(0, 10**6, 300)]
