@@ -460,6 +460,16 @@ def test_two_passages_with_other_words_between(spark):
     assert sorted((r["id"], r["start_word"], r["end_word"], r["source_start"]) for r in got) == [(2, 0, 60, 30), (2, 170, 240, 190)]
 
 
+def test_repeated_lines_and_words(spark):
+    rng = np.random.default_rng(12)
+    w = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    line, tail = w(12), w(60)
+    rows = [(1, (line + "\n") * 8 + w(40)), (2, w(15) + "\n" + (line + "\n") * 6), (3, "same " * 90 + w(70)), (4, "same " * 200), (5, "same " * 30 + tail), (6, tail + " " + "same " * 30)]
+    got = chaining.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["id"] for r in got} == {2, 4, 6}
+    assert any(r["start_word"] <= 16 and r["end_word"] >= 86 for r in got if r["id"] == 2)
+
+
 def test_fuzzy_passage():
     rng = np.random.default_rng(6)
     a = [f"w{x}" for x in rng.integers(0, 10**6, 300)]
