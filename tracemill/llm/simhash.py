@@ -203,7 +203,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     prints = cut(add_fingerprints(df, id_col, text_col), "simhash")
     distinct = cut(prints.groupBy("fp").agg(F.min("id").alias("id")), "simhash-distinct")
-    # a negative stand-in keeps fingerprints whose ids are all null in play
+    # a stand-in above all ids keeps fingerprints whose ids are all null in play
     distinct = distinct.select("fp", F.coalesce("id", F.lit((1 << 63) - 1) - F.pmod(F.col("fp"), F.lit(1 << 40))).alias("rep"))
     labels = components(cut(ring_links(distinct), "simhash-links"))
     named = distinct.join(labels, distinct["rep"] == labels["id"], "left").select(
