@@ -362,7 +362,7 @@ def test_lattice_draws_by_weight():
 def test_top_k(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(700, 8)) + 3 * rng.normal(size=(7, 8)).repeat(100, axis=0)
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, [None] + [0.1] * 7), (1100, [float("nan")] * 8), (1200, x[0].tolist()), (1201, x[0].tolist()), (1300, []), (None, [0.5] * 8), (1400, [float("inf")] + [0.0] * 7)]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, [None] + [0.1] * 7), (1100, [float("nan")] * 8), (1200, x[0].tolist()), (1201, x[0].tolist()), (1300, []), (None, [0.5] * 8), *[(2001 + 3 * i, x[5].tolist()) for i in range(40)], (1400, [float("inf")] + [0.0] * 7)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit("clash"))
     got = collections.defaultdict(list)
     for r in metric_tree.top_k(df, k=10).orderBy("query_id", "rank").collect():

@@ -157,8 +157,9 @@ def top_k(df: DataFrame, k: int = 10, query_every: int = 100, id_col: str = "vec
 
     Vectors that are null, empty, or hold nulls or other than finite numbers take no part; nor do
     rows without an id. Vectors of fewer components count as followed by zeros. Rows that repeat
-    an id are candidates of others, each with a rank, never of a query of their id. Many equal
-    vectors lie in pages like any others. Empty tables give an empty result.
+    an id are candidates of others, each with a rank, never of a query of their id. Of a group of
+    equal vectors, however large, k + 1 ids are indexed, which loses nothing. Empty tables give an
+    empty result.
     """
     spark = df.sparkSession
     rows = cut(quantised(df, id_col, vector_col), "vectors")
@@ -167,9 +168,15 @@ def top_k(df: DataFrame, k: int = 10, query_every: int = 100, id_col: str = "vec
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if not n:
         return empty
+    # of equal vectors all score alike, so only the k + 1 smallest ids of each can be among a query's k
+    same = Window.partitionBy("v").orderBy("id")
+    held = rows.withColumn("_r", F.dense_rank().over(same)).filter(F.col("_r") <= k + 1)
+    copies = Window.partitionBy("v", "id").orderBy("_r")
+    held = cut(held.withColumn("_c", F.row_number().over(copies)).filter(F.col("_c") <= k).select("id", "v"), "candidates")
+    n = held.count()
     pad = lambda r: list(r) + [0] * (width - len(r))
     n_pivots = int(min(MOST_PIVOTS, max(4, n // 4096)))
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(n_pivots).collect()
+    sample = held.orderBy(F.xxhash64("id"), "id").limit(n_pivots).collect()
     space = Space(float(top))
     pivots = space.lift(np.array([pad(r["v"]) for r in sample], np.float64))
 
@@ -185,7 +192,7 @@ def top_k(df: DataFrame, k: int = 10, query_every: int = 100, id_col: str = "vec
                 [pa.array(best, pa.int32()), batch.column(0), batch.column(1), pa.array(d[np.arange(len(d)), best])], names=["tree", "id", "v", "d"]
             )
 
-    assigned = cut(rows.mapInArrow(near, _INDEX), "regions")
+    assigned = cut(held.mapInArrow(near, _INDEX), "regions")
     size = max(TREE, -(-n // MOST_TREES))
     regions = {r["tree"]: (r["n"], r["r"]) for r in assigned.groupBy("tree").agg(F.count("*").alias("n"), F.max("d").alias("r")).collect()}
     # a large region has several trees; what lies in each is left to a hash of the id
