@@ -66,8 +66,10 @@ def test_random(spark, texts, prefixed):
 
 
 def test_null_response(spark):
-    row = parse(spark.createDataFrame([(1, None)], "id int, response string"), info=THINK).first()
-    assert row["answer"] is None and row["has_valid_reasoning"] is None and row["reasoning"] is None
+    df = spark.createDataFrame([(1, None)], "id int, response string")
+    for info in (THINK, ModelInfo(True)):
+        row = parse(df, info=info).first()
+        assert all(row[c] is None for c in ("answer", "reasoning", "reasoning_tag", "has_answer", "has_invalid_reasoning", *FLAGS))
 
 
 def test_overrides():

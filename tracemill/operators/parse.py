@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
@@ -51,12 +51,11 @@ def parsed(response: Column, info: ModelInfo, prefixed: Column | None = None, co
 def _fields(r: Column, closed: Column, opened: Column, info: ModelInfo, prefixed: Column | None, count: Callable | None) -> Column:
     pre = F.lit(info.prefixed) if prefixed is None else prefixed
     has_close, has_open = F.size(closed) == 2, F.size(opened) == 2
-    inside = strip(without_first(closed[0], info.tag_regex[0]))
+    some, inside = r.isNotNull(), strip(without_first(closed[0], info.tag_regex[0]))
     reasoning = (
-        F.when(has_close, inside).when(has_open, F.get(opened, F.lit(1))).when(pre, strip(r)).when(r.isNotNull(), F.lit(""))
+        F.when(has_close, inside).when(has_open, F.get(opened, F.lit(1))).when(pre, strip(r)).when(some, F.lit(""))
     )
-    answer = F.when(has_close, strip(F.get(closed, F.lit(1)))).when(has_open | pre, F.lit("")).otherwise(r)
-    some = r.isNotNull()
+    answer = F.when(has_close, strip(F.get(closed, F.lit(1)))).when(some & (has_open | pre), F.lit("")).otherwise(r)
     truncated = F.when(some, ~has_close & (has_open | pre))
     out = {
         "answer": answer,
@@ -98,3 +97,11 @@ def parse(
 def parse_array(responses: Column, info: ModelInfo, count: Callable[[Column], Column] | None = None) -> Column:
     """An array of responses -> an array of structs, the shape kept ([] stays [])."""
     return F.transform(responses, lambda r: parsed(r, info, count=count))
+
+
+def parsed_by_model(response: Column, model: Column, infos: Mapping[str, ModelInfo]) -> Column:
+    """As :func:`parsed`, by the description that each row's model name stands for; NULL for other names."""
+    out = F.when(F.lit(False), parsed(response, next(iter(infos.values()))))
+    for name, info in infos.items():
+        out = out.when(model == name, parsed(response, info))
+    return out

@@ -158,6 +158,8 @@ ORACLE_SQL = {
     "parse_template": f"select {_SPLIT} from ({_parsed(views.RESPONSES, prefixed='true')}) p",
     "parse_bracket": f"select {_SPLIT} from ({_parsed(views.BRACKETED, '[THINK]', '[/THINK]', 'THINK')}) p",
     "parse_custom_tag": f"select {_SPLIT} from ({_parsed(views.CUSTOM, '<reasoning>', '</reasoning>', 'reasoning')}) p",
+    "parse_by_model": f"select doc_id, 'plain' as model, {_SPLIT.split(', ', 1)[1]} from ({_P}) p where doc_id % 2 = 0 union all select doc_id, 'bracket' as model, {_SPLIT.split(', ', 1)[1]} from ({_parsed(views.BRACKETED, '[THINK]', '[/THINK]', 'THINK')}) q where doc_id % 2 = 1",
+    "parse_sql_functions": f"select doc_id, reasoning, answer, case when valid then 'valid' when empty then 'empty' when truncated then 'truncated' else 'missing' end as outcome from ({_P}) p",
     "parse_tokens": f"select doc_id, cast(len(list_filter(string_split_regex(reasoning, '[ \\n]'), lambda w: w <> '')) as int) as reasoning_token_count, cast(len(list_filter(string_split_regex(answer, '[ \\n]'), lambda w: w <> '')) as int) as answer_token_count from ({_P}) p",
     "parse_nested": f"select task_id, sample_id, answer, reasoning, {_FLAGS} from ({_parsed(_NESTED)}) p",
     "parse_arrays": f"select doc_id, 2 as n, answer as answer_0, reasoning as reasoning_0, '' as answer_1, 'x' as reasoning_1 from ({_P}) p",

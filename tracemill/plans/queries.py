@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill.functions.sql import register
 from tracemill.functions.tokenizers import CodePoints, Words
 from tracemill.operators import distill, mask, model, score
 from tracemill.operators.chat import apply_chat_templates
 from tracemill.operators.mask import MaskType, apply_mask, label_counts
 from tracemill.operators.model import BRACKET, PLAIN, PREFIXED, STRIPPING, TEMPLATES, ModelInfo, TagStyle, detect_model
-from tracemill.operators.parse import FLAGS, parse, parse_array
+from tracemill.operators.parse import FLAGS, parse, parse_array, parsed_by_model
 from tracemill.operators.stats import OPTIONAL, RATES, compute_stats, short_names, with_results
 from tracemill.plans import views
 from tracemill.plans.views import view
@@ -79,6 +80,22 @@ def parse_custom_tag(spark, sf_dir):
     return parse(view(spark, sf_dir, views.CUSTOM), template=PLAIN, override_tag="<reasoning>").select(*_SPLIT)
 
 
+@query
+def parse_by_model(spark, sf_dir):
+    infos = {"plain": THINK, "bracket": ModelInfo(False, "THINK", TagStyle.BRACKET)}
+    rows = view(spark, sf_dir, views.MIXED)
+    return rows.select("doc_id", "model", parsed_by_model(F.col("response"), F.col("model"), infos).alias("p")).select("doc_id", "model", *[f"p.{c}" for c in _SPLIT[1:]])
+
+
+@query
+def parse_sql_functions(spark, sf_dir):
+    """The same by SQL functions, within a statement."""
+    register(spark)
+    rows = _responses(spark, sf_dir)
+    call = "response_{}(response, '<think>', false) as {}"
+    return spark.sql(f"select doc_id, {', '.join(call.format(n, n) for n in ('reasoning', 'answer', 'outcome'))} from {{rows}}", rows=rows)
+
+
 @query
 def parse_tokens(spark, sf_dir):
     return parse(_responses(spark, sf_dir), info=THINK, tokenizer=Words()).select("doc_id", "reasoning_token_count", "answer_token_count")

@@ -20,6 +20,10 @@ from documents"""
 BRACKETED = RESPONSES.replace("<think>", "[THINK]").replace("</think>", "[/THINK]").replace("<THINK>", "[think]").replace("</THINK>", "[/think]")
 CUSTOM = RESPONSES.replace("think>", "reasoning>").replace("THINK>", "REASONING>")
 
+MIXED = f"""
+select doc_id, response, 'plain' as model from ({RESPONSES}) a where doc_id % 2 = 0
+union all select doc_id, response, 'bracket' as model from ({BRACKETED}) b where doc_id % 2 = 1"""
+
 PROMPTED = f"""
 select doc_id, response, case when doc_id % 2 = 0 then concat('Question', chr(10), '<think>', chr(10)) else concat('Question', chr(10)) end as prompt
 from ({RESPONSES}) r"""
