@@ -470,6 +470,28 @@ def test_repeated_lines_and_words(spark):
     assert any(r["start_word"] <= 16 and r["end_word"] >= 86 for r in got if r["id"] == 2)
 
 
+def test_passage_of_common_sentences(spark):
+    """Every sentence is in most texts, their order in the passage in two of them only."""
+    rng = np.random.default_rng(15)
+    sentences = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 14)) for _ in range(60)]
+    texts = {i: [sentences[x] for x in rng.permutation(60)] for i in range(40)}
+    texts[30][20:25] = texts[3][40:45]
+    rows = [(i, " ".join(t)) for i, t in texts.items()]
+    got = chaining.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r["id"], r["source_id"]) for r in got if r["start_word"] <= 281 and r["end_word"] >= 349] == [(30, 3)]
+
+
+def test_equal_stretches_share_seeds():
+    rng = np.random.default_rng(16)
+    for words in (2, 50, 10**6):
+        same = rng.integers(0, words, 50)
+        texts = [np.r_[rng.integers(0, words, n), same, rng.integers(0, words, m)].astype(np.uint64) for n, m in ((0, 0), (30, 7), (3, 90))]
+        text, pos, h = chaining.seeds(_text.mix(np.concatenate(texts)), np.array([len(t) for t in texts]))
+        for first in (0, chaining.LONG):
+            inside = [{int(x) for x, p, t in zip(h, pos - first, text) if t == i and n <= p <= n + 50 - (chaining.LONG_K if first else chaining.K)} for i, n in enumerate((0, 30, 3))]
+            assert set.intersection(*inside)
+
+
 def test_fuzzy_passage():
     rng = np.random.default_rng(6)
     a = [f"w{x}" for x in rng.integers(0, 10**6, 300)]
