@@ -460,6 +460,15 @@ def test_two_passages_with_other_words_between(spark):
     assert sorted((r["id"], r["start_word"], r["end_word"], r["source_start"]) for r in got) == [(2, 0, 60, 30), (2, 170, 240, 190)]
 
 
+def test_passage_between_two_of_another_source(spark):
+    rng = np.random.default_rng(19)
+    w = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    one, two, other = w(200), w(200), w(150)
+    rows = [(1, one + " " + w(150) + " " + two), (2, w(40) + " " + other + " " + w(40)), (3, " ".join([one, other, two]))]
+    got = chaining.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["start_word"], r["end_word"], r["source_id"]) for r in got) == [(0, 200, 1), (200, 350, 2), (350, 550, 1)]
+
+
 def test_repeated_lines_and_words(spark):
     rng = np.random.default_rng(12)
     w = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
