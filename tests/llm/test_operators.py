@@ -501,6 +501,15 @@ def test_equal_stretches_share_seeds():
             assert set.intersection(*inside)
 
 
+def test_source_behind_more_holders_of_its_seeds(spark):
+    rng = np.random.default_rng(11)
+    draw = lambda n: [f"w{x}" for x in rng.integers(0, 100_000, n)]
+    p = draw(50)
+    rows = [(i, " ".join(draw(60) + (p if i in (1, 20) else p[:45] + draw(60) + p[5:]) + draw(60))) for i in range(21)]
+    got = chaining.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert any(r["id"] == 20 and r["source_id"] == 1 and r["start_word"] <= 60 and r["end_word"] >= 110 for r in got)
+
+
 def test_fuzzy_passage():
     rng = np.random.default_rng(6)
     a = [f"w{x}" for x in rng.integers(0, 10**6, 300)]
