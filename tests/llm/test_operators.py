@@ -415,6 +415,13 @@ def test_templates_of_a_host(spark):
     assert html_text.main_text(df.filter("page_id < 0")).count() == 0
 
 
+def test_text_of_a_few_pages_of_a_large_host_stays(spark):
+    menu = "<div><p>Home</p><p>Shop now</p></div>"
+    rows = [(i, f"http://h.example/{i}", f"<body>{menu}<p>Story {i}</p>{'<p>As was said</p>' if i < 5 else ''}</body>") for i in range(40)]
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story {i} As was said" if i < 5 else f"Story {i}" for i in range(40)}
+
+
 # ---- chaining
 
 

@@ -200,13 +200,15 @@ def _parsed(df: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFram
     return rows.mapInArrow(run, _PARSED)
 
 
-def templates(parsed: DataFrame, least_pages: int = 3) -> DataFrame:
-    """(host, subtree, pages): subtrees on at least that many pages of a host whose texts differ.
+def templates(parsed: DataFrame, least_pages: int = 3, least_share: float = 1 / 3) -> DataFrame:
+    """(host, subtree, pages): subtrees on at least that many pages of a host whose texts differ, and on that share of them.
 
     Copies of one page are one page here, so that its content is not taken for a template.
     """
     seen = parsed.select("host", "body", F.explode("subtrees").alias("subtree")).distinct()
-    return seen.groupBy("host", "subtree").agg(F.count("*").alias("pages")).filter(F.col("pages") >= least_pages)
+    counted = seen.groupBy("host", "subtree").agg(F.count("*").alias("pages")).filter(F.col("pages") >= least_pages)
+    hosts = parsed.select("host", "body").distinct().groupBy("host").agg(F.count("*").alias("of"))
+    return counted.join(hosts, "host").filter(F.col("pages") >= least_share * F.col("of")).select("host", "subtree", "pages")
 
 
 def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 3) -> DataFrame:
