@@ -422,6 +422,13 @@ def test_text_of_a_few_pages_of_a_large_host_stays(spark):
     assert got == {i: f"Story {i} As was said" if i < 5 else f"Story {i}" for i in range(40)}
 
 
+def test_templates_inside_marked_articles(spark):
+    more = "<div><p>Read on</p><p>Top ten</p></div>"
+    rows = [(i, f"http://h.example/{i}", f"<body><article><p>Story {i}</p>{more}{'<p>As was said</p>' if i < 5 else ''}</article></body>") for i in range(40)]
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story {i} As was said" if i < 5 else f"Story {i}" for i in range(40)}
+
+
 # ---- chaining
 
 

@@ -4,7 +4,7 @@ Every page is parsed once. The subtrees of its block elements are hashed; Spark
 different pages of a host each subtree occurs, and those that recur are deleted, with all they
 hold. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments that
 markup names as such go too, whether they recur or not. Where a page marks its article, that is
-what remains to look at: a passage of an article is never taken for a template.
+what remains to look at; what recurs goes from there too, if it is on a large share of the host's pages.
 """
 
 from __future__ import annotations
@@ -86,7 +86,7 @@ def parse_page(source: str) -> tuple[bool, list[tuple[str, list[int]]], dict[int
             e = stack.pop()
             if e.name not in INLINE:
                 texts.append(("\n", [], e.article))
-                if not e.article and e.name not in ("html", "body"):
+                if e.name not in ("html", "body"):
                     hashes[e.serial] = xxhash.xxh64_intdigest(source[e.start : end].encode("utf-8", "surrogatepass")) - (1 << 63)
 
     def add(text: str) -> None:
@@ -148,7 +148,7 @@ def parse_page(source: str) -> tuple[bool, list[tuple[str, list[int]]], dict[int
         stack.append(_Element(name, m.start(), boiler, article, header, serial))
     close(0, len(source))
     if marked:
-        return True, [(t, []) for t, _, inside in texts if inside], hashes
+        return True, [(t, around) for t, around, inside in texts if inside], hashes
     return False, [(t, around) for t, around, _ in texts], hashes
 
 
@@ -163,7 +163,7 @@ def host_of(url: str | None) -> str:
 
 
 _PARSED = (
-    "page_id long, url string, host string, body long, text string, segments array<struct<text: string, around: array<long>>>, subtrees array<long>"
+    "page_id long, url string, host string, body long, segments array<struct<text: string, around: array<long>>>, subtrees array<long>"
 )
 
 
@@ -173,15 +173,14 @@ def _parsed(df: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, bodies, texts, segments, subtrees = [], [], [], [], []
+            hosts, bodies, segments, subtrees = [], [], [], []
             for url, source in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                marked, pieces, hashes = parse_page(source or "")
+                _, pieces, hashes = parse_page(source or "")
                 text = joined([t for t, _ in pieces])
                 hosts.append(host_of(url))
                 bodies.append(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63))
-                texts.append(text if marked else None)
                 rows: list[dict] = []
-                for t, around in [] if marked else pieces:
+                for t, around in pieces:
                     names = sorted({hashes[s] for s in around if s in hashes})
                     if rows and t == "\n":
                         rows[-1]["text"] += t
@@ -192,8 +191,8 @@ def _parsed(df: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFram
                 segments.append(rows)
                 subtrees.append(sorted(set(hashes.values())))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(hosts), pa.array(bodies, pa.int64()), pa.array(texts, pa.string()), pa.array(segments, segment), pa.array(subtrees, pa.list_(pa.int64()))],
-                names=["page_id", "url", "host", "body", "text", "segments", "subtrees"],
+                [batch.column(0), batch.column(1), pa.array(hosts), pa.array(bodies, pa.int64()), pa.array(segments, segment), pa.array(subtrees, pa.list_(pa.int64()))],
+                names=["page_id", "url", "host", "body", "segments", "subtrees"],
             )
 
     rows = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
@@ -220,12 +219,12 @@ def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     """
     parsed = cut(_parsed(df, id_col, url_col, html_col).withColumn("row", F.monotonically_increasing_id()), "pages")
     found = cut(templates(parsed, least_pages), "templates")
-    # pages without a marked article: each text in a recurring subtree goes
-    open_pages = parsed.filter(F.col("text").isNull())
-    held = open_pages.select("row", "host", F.explode("subtrees").alias("subtree")).join(found.select("host", "subtree"), ["host", "subtree"])
-    gone = held.groupBy("row").agg(F.collect_set("subtree").alias("gone"))
+    # each text in a recurring subtree goes, inside marked articles too
+    held = parsed.select("row", "host", F.explode("subtrees").alias("subtree")).join(found.select("host", "subtree"), ["host", "subtree"])
+    # written first, so that its size is known and pages are not shuffled where few rows lose anything
+    gone = cut(held.groupBy("row").agg(F.collect_set("subtree").alias("gone")), "gone")
     none = F.array().cast("array<long>")
-    kept = open_pages.join(gone, "row", "left").select(
+    kept = parsed.join(gone, "row", "left").select(
         "page_id", "url",
         F.filter("segments", lambda s: ~F.arrays_overlap(s["around"], F.coalesce("gone", none))).alias("segments"),
     )
@@ -236,5 +235,4 @@ def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     rest = kept.mapInArrow(run, "page_id long, url string, text string")
-    every = parsed.filter(F.col("text").isNotNull()).select("page_id", "url", "text").union(rest)
-    return every.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return rest.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
