@@ -261,6 +261,16 @@ def test_store_finds_damage(spark, docs):
         token_store.read_digests(spark, other).collect()
 
 
+def test_store_finds_a_lost_recipe(spark, docs):
+    store = token_store.write_store(docs.filter("doc_id < 3"), WORD, True, 2)
+    other = token_store.Store(store.path + "-less", 2)
+    for name in ("chunks", "manifest"):
+        store.dataset(spark, name).write.parquet(f"{other.path}/{name}")
+    store.dataset(spark, "recipes").filter("id <> 1").write.parquet(f"{other.path}/recipes")
+    with pytest.raises(Exception, match="manifest"):
+        token_store.read_digests(spark, other).collect()
+
+
 def test_crc_of_parts():
     rng = np.random.default_rng(0)
     raw = [rng.integers(0, 256, n, np.uint8).tobytes() for n in (4, 40, 4, 1000, 8, 8192)]

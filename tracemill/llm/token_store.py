@@ -276,6 +276,8 @@ def read_digests(spark: SparkSession, store: Store) -> DataFrame:
     recipes join these, and a document's CRC follows from those of its chunks and their lengths. So
     the ids themselves are not shuffled again.
     """
+    if not verify(spark, store):
+        raise ValueError("the recipes are not those of the manifest")
     kind, width = np.dtype(f"<u{store.width}"), store.width
 
     def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
