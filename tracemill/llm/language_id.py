@@ -4,8 +4,9 @@ One model a language, of the same order, over lower-cased letters with runs of a
 blank. The models of all languages are stored together: for every context length one sorted array
 of 64-bit hashes, and beside it a column of log probabilities for each language (of what follows)
 or of log back-off weights (of contexts). A text is scored in one pass of binary searches; the
-language of the lowest cross-entropy per character wins. A text is rejected where that entropy lies
-beyond what calibration on a part of the training rows has seen.
+language of the lowest cross-entropy per character wins. A text is rejected where that entropy lies beyond a limit that
+calibration sets for each language, between the entropies of its own rows that were not fitted on and those of what it should not
+take: rows of the other languages, judged as if theirs were unknown, and the rows' letters in random order.
 """
 
 from __future__ import annotations
@@ -21,6 +22,10 @@ from pyspark.sql import functions as F
 from tracemill.llm._io import small_batches
 
 UNKNOWN = "und"
+#: Symbols that are scored at once, whatever a text's length.
+SLICE = 1 << 20
+#: Languages that are learned at most; beyond, training is an error.
+MOST_LANGUAGES = 2000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _BLANK = 32
 _fold_cache: np.ndarray | None = None
@@ -121,7 +126,8 @@ class SortedHashes:
 class KneserNey:
     """languages; keys[n-1]: sorted hashes of n-grams, logp[n-1]: (n-grams x languages);
     contexts[n-1]: sorted hashes of contexts of n symbols, back[n-1]: log back-off weights;
-    base: log probability of a symbol never seen; cross: limits of rejection; scale: of the score."""
+    base: log probability of a symbol never seen; cross, slack: limits of rejection, and what n scored symbols add to them as
+    slack / sqrt(n); scale: of the score."""
 
     order: int
     languages: list[str]
@@ -131,6 +137,7 @@ class KneserNey:
     back: list[np.ndarray] = field(default_factory=list)
     base: np.ndarray = field(default_factory=lambda: np.zeros(0))
     cross: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    slack: np.ndarray = field(default_factory=lambda: np.zeros(0))
     scale: float = 1.0
 
     def log_probs(self, sym: np.ndarray) -> np.ndarray:
@@ -165,10 +172,18 @@ class KneserNey:
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(texts x languages) cross-entropy in nats a symbol, symbols scored, letters."""
         sym, starts, letters = symbols(texts, self.order)
-        logp = self.log_probs(sym)
-        logp[:, (starts[:-1, None] + np.arange(self.order)).ravel()] = 0  # what leads each text is not scored
         n = np.diff(starts) - self.order
-        sums = np.stack([np.add.reduceat(row, starts[:-1], dtype=np.float64) for row in logp]) if len(texts) else np.zeros((len(self.languages), 0))
+        sums = np.zeros((len(self.languages), len(texts)))
+        text_of = np.repeat(np.arange(len(texts)), np.diff(starts))
+        scored = np.ones(len(sym), bool)
+        scored[(starts[:-1, None] + np.arange(self.order)).ravel()] = False  # what leads each text is not scored
+        for at in range(0, len(sym), SLICE):
+            lead = min(at, self.order - 1)
+            logp = self.log_probs(sym[at - lead : at + SLICE])[:, lead:]
+            use = scored[at : at + SLICE]
+            own = text_of[at : at + SLICE][use]
+            for k in range(len(self.languages)):
+                sums[k] += np.bincount(own, logp[k][use], len(texts))
         return (-sums / np.maximum(n, 1)).T, n, letters
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -182,7 +197,7 @@ class KneserNey:
         score = 1.0 / np.exp(-gap).sum(axis=1)
         low = h[np.arange(len(h)), best]
         has = letters > 0
-        accepted = has & (low <= self.cross[best] + 4.0 / np.sqrt(np.maximum(n, 1)))
+        accepted = has & (low <= self.cross[best] + self.slack[best] / np.sqrt(np.maximum(n, 1)))
         names = [self.languages[b] if k else UNKNOWN for b, k in zip(best, has)]
         return names, np.where(has, score, 0.0), np.where(has, low, 0.0), accepted
 
@@ -237,12 +252,12 @@ def _one_language(texts: list[str], order: int) -> tuple[list, list, float]:
     return probs, weights, base
 
 
-def fit(rows: list[tuple[str, str]], order: int = 4, calibrate: float = 0.2, quantile: float = 0.999, margin: float = 0.9) -> KneserNey:
+def fit(rows: list[tuple[str, str]], order: int = 4, calibrate: float = 0.2, quantile: float = 0.999) -> KneserNey:
     """A model of (text, language) rows; every fifth of a language's rows calibrates and is not counted.
 
-    Rejection: above the ``quantile`` of the calibration rows' entropies plus ``margin`` nats, and a
-    slack for short texts. The score's scale is fitted to the calibration rows' log likelihood.
-    Without rows the model has no language and knows nothing.
+    Rejection: half-way from the ``quantile`` of the calibration rows' entropies to the entropies of what the language should
+    not take, with a slack for short texts by pieces of the calibration rows. The score's scale is fitted to the calibration
+    rows' log likelihood. Without rows the model has no language and knows nothing.
     """
     languages = sorted({lang for _, lang in rows})
     model = KneserNey(order, languages)
@@ -277,7 +292,7 @@ def fit(rows: list[tuple[str, str]], order: int = 4, calibrate: float = 0.2, qua
                 at = model.contexts[n - 1].find(ctx)
                 out[:] = model.logp[n - 1][k][low] + np.where(at >= 0, model.back[n - 1][k][at], 0)
             out[model.keys[n].find(probs[n][0])] = np.log(probs[n][1])
-    _calibrate(model, held, quantile, margin)
+    _calibrate(model, held, quantile)
     return model
 
 
@@ -292,17 +307,38 @@ def _union_lower(rows: list[tuple[str, str]], order: int, model: KneserNey) -> l
     return out
 
 
-def _calibrate(model: KneserNey, held: list[tuple[str, str]], quantile: float, margin: float) -> None:
-    model.cross = np.full(len(model.languages), np.inf)
+def noise(text: str, seed: int) -> str:
+    """A text's characters in random order."""
+    return "".join(np.random.default_rng(seed).permutation(list(text)).tolist())
+
+
+def _calibrate(model: KneserNey, held: list[tuple[str, str]], quantile: float) -> None:
+    model.cross, model.slack = np.full(len(model.languages), np.inf), np.zeros(len(model.languages))
     if not held:
         return
     h, n, letters = model.entropies([t for t, _ in held])
     truth = np.array([model.languages.index(x) for _, x in held])
     ok = letters > 0
+    # what should be rejected: each row by the best of the other languages, where there are others, and noise by the best of all
+    others = h.copy()
+    others[np.arange(len(h)), truth] = np.inf
+    odd, odd_n, _ = model.entropies([noise(t, i) for i, (t, _) in enumerate(held)])
+    long = ok & (n >= 50)
+    # short texts: the first 20, 60 and 200 characters of the rows
+    shorts = [(t[:m], k) for (t, _), k in zip(held, truth) for m in (20, 60, 200)]
+    sh, sn, sl = model.entropies([t for t, _ in shorts])
+    sk = np.array([k for _, k in shorts])
     for k in range(len(model.languages)):
-        own = h[ok & (truth == k), k]
-        if len(own):
-            model.cross[k] = np.quantile(own, quantile) + margin
+        own = h[long & (truth == k), k] if (long & (truth == k)).any() else h[ok & (truth == k), k]
+        if not len(own):
+            continue
+        high = np.quantile(own, quantile)
+        wrong = np.r_[others[long & (truth != k) & (others.argmin(axis=1) == k), k], odd[long & (odd.argmin(axis=1) == k), k]]
+        low = max(high, np.quantile(wrong, 1 - quantile)) if len(wrong) else 1.5 * high
+        model.cross[k] = (high + low) / 2
+        mine = (sk == k) & (sl > 0)
+        if mine.any():
+            model.slack[k] = max(0.0, np.quantile((sh[mine, k] - model.cross[k]) * np.sqrt(np.maximum(sn[mine], 1)), quantile))
     best, most = 1.0, -np.inf
     for scale in np.geomspace(0.05, 200, 60):
         z = -h[ok] * (scale * np.sqrt(np.maximum(n[ok], 1)))[:, None]
@@ -318,24 +354,21 @@ def in_fold(id_col: str, folds: int = 5) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds)) == 0, F.lit(True))
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_rows: int = 800, most_chars: int = 3000, order: int = 4) -> KneserNey:
+def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_chars: int = 2_000_000, order: int = 4) -> KneserNey:
     """Fit on labelled rows outside the held-out fold.
 
-    The sample is bounded: about ``most_rows`` rows a language (the least hashes of their ids; twice
-    as many at most), of each the first ``most_chars`` characters; only fitting looks at so little.
+    The sample is bounded: of each language whole texts of about ``most_chars`` characters in all, those of the least hashes of
+    their ids; all, if they have fewer. More than ``MOST_LANGUAGES`` languages are an error.
     """
     labelled = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~in_fold(id_col))
-    n_of = {r["l"]: r["n"] for r in labelled.groupBy(F.col(lang_col).alias("l")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(400).collect()}
-    if not n_of:
+    sizes = labelled.groupBy(F.col(lang_col).alias("l")).agg(F.sum(F.length(text_col).cast("double")).alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    if not sizes:
         return fit([], order)
-    share = F.create_map(*[F.lit(x) for lang, n in n_of.items() for x in (lang, min(1.0, most_rows / n))])[F.col(lang_col)]
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["l"], min(1.0, most_chars / max(1.0, r["n"])))])[F.col(lang_col)]
     unit = F.pmod(F.xxhash64(F.col(id_col), F.lit("fit")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = (
-        labelled.filter(unit < share)
-        .select(F.substring(F.col(text_col), 1, most_chars).alias("t"), F.col(lang_col).alias("l"), F.col(id_col).cast("long").alias("i"))
-        .limit(2 * most_rows * len(n_of))
-        .collect()
-    )
+    rows = labelled.filter(unit < share).select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"), F.col(id_col).cast("long").alias("i")).collect()
     return fit([(r["t"], r["l"]) for r in sorted(rows, key=lambda r: (r["l"], r["i"] is None, r["i"] or 0, r["t"]))], order)
 
 
@@ -346,8 +379,9 @@ def identify(df: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col:
     """Language of each whole text: id, held_out, lang_pred, score, cross_entropy, accepted.
 
     ``keep``: columns of ``df`` to return in place of id and held_out (the result's columns come
-    after, with a leading ``_``). A null text or one without letters is ``und`` with score 0 and
-    is not accepted. Equal texts get equal results. Empty tables give empty results.
+    after, with a leading ``_``; columns of ``df`` that have such names keep their values). A null text or one without letters
+    is ``und`` with score 0 and is not accepted. Equal texts, repeated rows among them, get equal results. A very long text is
+    scored in slices of symbols, which changes nothing. Empty tables give empty results.
     """
     spark = df.sparkSession
     small_batches(spark)

@@ -20,6 +20,8 @@ from tracemill.llm._io import rank_in, small_batches
 from tracemill.llm._text import blocks, mix, pack, shingles, span_hashes, spans
 
 BINS, BITS, WIDTH = 256, 8, 5
+#: Ranges of ids at most: their boundaries are literals of the plan; rows stream through a range, however many it has.
+MOST_RANGES = 16_384
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -99,7 +101,8 @@ def fingerprint_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ids = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("_o"))
-    cuts = [i / (4 * parts) for i in range(1, 4 * parts)]
+    ranges = min(MOST_RANGES, 4 * parts)
+    cuts = [i / ranges for i in range(1, ranges)]
     found = ids.agg(F.percentile_approx("_o", F.array(*map(F.lit, cuts)), 20_000).alias("q")).first()["q"]
     splitters = sorted(set(found or []))
     bucket = rank_in(splitters, F.col("_o"))

@@ -73,7 +73,9 @@ def lower_bound(lengths: np.ndarray, room: int) -> int:
 def cut_and_digest(df: DataFrame, tokenizer: str, words_only: bool, end_id: int, room: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of each whole text's ids with the end id: id, copy, piece, start, length, ids_crc32.
 
-    Only what is longer than ``room`` is cut; the first piece takes the remainder.
+    Only what is longer than ``room`` is cut; the first piece takes the remainder. Null and empty texts have the end id alone;
+    rows with a null id, and repeated rows, have pieces each, which ``copy`` tells apart. Other columns are ignored; an
+    empty table gives an empty one.
     """
     small_batches(df.sparkSession)
 

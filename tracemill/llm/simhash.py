@@ -3,13 +3,16 @@
 The 64 bits lie on a ring of five segments. If two fingerprints differ in at most 4 bits, some
 chain of consecutive segments stays within its proportional budget at every length: 0 differing
 bits in the first segment, 1 in two, 2 in three, 3 in four, 4 in all. So the first segment is
-equal, and of the second, which may differ in one bit, one half is equal: these 19 or 20 bits are
-the key of an index, ten keys a fingerprint. Within a key the longer chains are tested in turn,
-and only what passes them gets the full Hamming check.
+equal, and of what follows it in a chain of n segments, which may differ in n - 1 bits, n - 1 + e
+parts are equal in e at least: the segment and e parts are the key of an index. The chain is the
+longer the more fingerprints there are, so that a key holds about as many of them at any size.
+Within a key the longer chains are tested in turn, and only what passes them gets the full
+Hamming check.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +27,11 @@ from tracemill.llm.components import components
 #: (first bit, bits) of the ring's segments, and how many bits two fingerprints may differ in.
 SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 MOST_DIFFERENT = 4
+#: (fingerprints at most, segments of a key's chain, parts of it that must be equal): keys of 19, 26 and 32 bits at least,
+#: of which a fingerprint has 10, 30 and 100.
+LEVELS = ((1 << 24, 2, 1), (1 << 31, 3, 2), (1 << 62, 4, 3))
 #: Bits of an index key below its number.
-KEY_BITS = 20
+KEY_BITS = 40
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -83,16 +89,29 @@ def _bits(start: int, n: int) -> np.uint64:
     return np.uint64(((1 << n) - 1) << start)
 
 
-def ring_keys() -> list[tuple[int, list[tuple[int, int]]]]:
-    """(number, the bit ranges that must be equal) of the ten keys: a segment and half of the next."""
+def ring_keys(chain: int = 2, equal: int = 1) -> list[tuple[int, list[list[tuple[int, int]]]]]:
+    """(first segment, the parts that must be equal, each a list of bit ranges) of each key: a segment, and ``equal`` of the
+    parts of the rest of a chain of ``chain`` segments from there, which are more by the bits that may differ in it."""
     keys = []
     for i, seg in enumerate(SEGMENTS):
-        start, n = SEGMENTS[(i + 1) % len(SEGMENTS)]
-        for h, part in enumerate(((start, n // 2), (start + n // 2, n - n // 2))):
-            keys.append((2 * i + h, [seg, part]))
+        bits = [b for j in range(1, chain) for s, n in [SEGMENTS[(i + j) % len(SEGMENTS)]] for b in range(s, s + n)]
+        n_parts = chain * MOST_DIFFERENT // len(SEGMENTS) + equal
+        parts = [_ranges(bits[len(bits) * p // n_parts : len(bits) * (p + 1) // n_parts]) for p in range(n_parts)]
+        keys += [(i, [[seg], *chosen]) for chosen in itertools.combinations(parts, equal)]
     return keys
 
 
+def _ranges(bits: list[int]) -> list[tuple[int, int]]:
+    """(first bit, bits) of the runs in a list of bits."""
+    out: list[tuple[int, int]] = []
+    for b in bits:
+        if out and sum(out[-1]) == b:
+            out[-1] = (out[-1][0], out[-1][1] + 1)
+        else:
+            out.append((b, 1))
+    return out
+
+
 def _ring_masks(first: int) -> list[tuple[np.uint64, int]]:
     """(bits of the chain, budget) for chains of 2 to 5 segments from ``first``."""
     out, mask = [], np.uint64(0)
@@ -138,14 +157,20 @@ def _links_of(fp: np.ndarray, rep: np.ndarray, masks: list) -> tuple[list, list]
     return one, two
 
 
-def ring_links(distinct: DataFrame) -> DataFrame:
+def ring_links(distinct: DataFrame, level: int | None = None) -> DataFrame:
     """(a, b): links between representatives of distinct fingerprints (fp, rep), enough to
-    connect every pair that differs in at most 4 bits, never all pairs of a group."""
+    connect every pair that differs in at most 4 bits, never all pairs of a group. ``level``: of LEVELS, by default
+    by how many fingerprints there are; the links differ by it, what they connect does not."""
     fp = F.col("fp")
-    keys = []
-    for number, parts in ring_keys():
-        key = F.lit(number << (KEY_BITS - sum(n for _, n in parts))).cast("long")
-        for start, n in parts:
+    if level is None:
+        n_prints = distinct.count()
+        level = next(i for i, (most, _, _) in enumerate(LEVELS) if n_prints <= most)
+    found, keys = ring_keys(*LEVELS[level][1:]), []
+    first_segment = np.array([i for i, _ in found])
+    for number, (_, parts) in enumerate(found):
+        ranges = [r for part in parts for r in part]
+        key = F.lit(number << (KEY_BITS - sum(n for _, n in ranges))).cast("long")
+        for start, n in ranges:
             key = F.shiftleft(key, n).bitwiseOR(F.shiftrightunsigned(fp, start).bitwiseAND(F.lit((1 << n) - 1)))
         keys.append(key)
     rows = distinct.select(F.explode(F.array(*keys)).alias("key"), "fp", "rep")
@@ -156,7 +181,7 @@ def ring_links(distinct: DataFrame) -> DataFrame:
         one, two = [], []
         # small groups: neighbours at each distance, over all groups at once
         small = np.repeat(sizes <= 32, sizes)
-        start_seg = (key >> KEY_BITS) // 2
+        start_seg = first_segment[key >> KEY_BITS]
         for d in range(1, 32):
             at = np.flatnonzero(small[:-d] & (key[:-d] == key[d:])) if d < len(key) else np.empty(0, np.int64)
             if not len(at):

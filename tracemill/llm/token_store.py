@@ -28,6 +28,8 @@ from tracemill.llm._text import buffers, mix
 from tracemill.llm.tokens import encoder
 
 ROLL, MEAN, LEAST, MOST = 8, 256, 64, 2048
+#: Ranges of ids at most: their boundaries are literals of the plan; within a range the sort spills.
+MOST_RANGES = 4096
 DIGEST = 16
 
 
@@ -99,6 +101,8 @@ def _encoded(df: DataFrame, id_col: str, text_col: str, tokenizer: str, words_on
             ids, n = enc.encode(buf, offsets)
             closed = np.insert(ids, np.cumsum(n), end_id)
             counts = n + 1
+            if len(closed) and int(closed.max()) >> (8 * width):
+                raise ValueError(f"id {int(closed.max())} does not fit into {width} bytes")
             raw = closed.astype(kind).tobytes()
             digests, lengths, fresh = [], [], []
             begin = 0
@@ -126,6 +130,14 @@ def _encoded(df: DataFrame, id_col: str, text_col: str, tokenizer: str, words_on
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _STAGED)
 
 
+def id_width(tokenizer: str, end_id: int) -> int:
+    """Bytes of an id: 2 where the highest of the vocabulary and the end id fit, else 4."""
+    from tokenizers import Tokenizer
+
+    highest = max([end_id, *Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values()])
+    return 2 if highest < 1 << 16 else 4
+
+
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last = None
     for batch in batches:
@@ -136,17 +148,21 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def write_store(
-    df: DataFrame, tokenizer: str, words_only: bool, end_id: int, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, width: int = 2
+    df: DataFrame, tokenizer: str, words_only: bool, end_id: int, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, width: int | None = None
 ) -> Store:
     """Encode whole texts and write them as a store.
 
     Null texts are empty and have the end id alone. Rows with a null id come first; rows of equal
     ids each have a recipe, in the order of their chunks' names. An empty table makes an empty store. A
-    chunk that a third of all documents hold is sent to its shuffle once by each task.
+    chunk that a third of all documents hold is sent to its shuffle once by each task. A very long text is
+    encoded in blocks of distinct pieces and cut into chunks like others; its recipe is one row. ``width``: bytes
+    of an id, by default what the vocabulary's highest id needs; an id that does not fit is an error. Recipes
+    lie in ascending id order, within files and from file to file.
     """
     spark = df.sparkSession
     small_batches(spark)
-    store = Store(path or scratch_path(spark, "token-store"), width)
+    store = Store(path or scratch_path(spark, "token-store"), width or id_width(tokenizer, end_id))
+    width = store.width
     staged = cut(_encoded(df, id_col, text_col, tokenizer, words_only, end_id, width), "encoded")
     chunks = staged.select(F.explode("fresh").alias("c")).select("c.digest", "c.ids")
     chunks = chunks.repartition("digest").sortWithinPartitions("digest").mapInArrow(_once, "digest binary, ids binary")
@@ -154,17 +170,18 @@ def write_store(
 
     # a prefix sum in two levels: sums of ranges of ids, then windows within each
     ids = F.coalesce("id", F.lit(-(1 << 63)))
-    parts = 2 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = min(MOST_RANGES, 2 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     q = staged.agg(F.percentile_approx(ids, F.array(*[F.lit(i / parts) for i in range(1, parts)]), 20_000).alias("q")).first()["q"]
     splitters = sorted(set(q or []))
     ranged = staged.select(rank_in(splitters, ids).alias("part"), "id", "n_tokens", "digests", "lengths")
+    in_order = ranged.repartitionByRange(len(splitters) + 1, "part")
     before, starts = 0, []
     for r in sorted(ranged.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()):
         starts.append((r["part"], before))
         before += r["n"]
     base = F.get(F.array(*[F.lit(dict(starts).get(p, 0)).cast("long") for p in range(len(splitters) + 1)]), F.col("part"))
     line = Window.partitionBy("part").orderBy(F.asc_nulls_first("id"), "digests")
-    recipes = ranged.withColumn("start", base + F.sum("n_tokens").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens"))
+    recipes = in_order.withColumn("start", base + F.sum("n_tokens").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens"))
 
     def rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
