@@ -261,7 +261,7 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-_SUBTREES = "key long, host string, body long, total long, names array<struct<kind: int, name: long, chars: long, beside: boolean>>"
+_SUBTREES = "key long, host long, body long, total long, names array<struct<kind: int, name: long, chars: long, beside: boolean>>"
 
 
 def _rows(df: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
@@ -271,7 +271,7 @@ def _rows(df: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
 
 
 def subtrees(rows: DataFrame) -> DataFrame:
-    """Each page's host, the hash of its text, and the names of its elements, each once, with the text in all that have it."""
+    """Hashes of each page's host and text, and the names of its elements, each once, with the text in all that have it."""
     small_batches(rows.sparkSession)
     entry = pa.struct([("kind", pa.int32()), ("name", pa.int64()), ("chars", pa.int64()), ("beside", pa.bool_())])
 
@@ -280,7 +280,7 @@ def subtrees(rows: DataFrame) -> DataFrame:
             hosts, bodies, totals, names = [], [], [], []
             for url, source in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 page = Page(source or "")
-                hosts.append(host_of(url))
+                hosts.append(_signed(xxhash.xxh64(host_of(url).encode("utf-8", "surrogatepass"))))
                 bodies.append(_signed(xxhash.xxh64(page.text().encode("utf-8", "surrogatepass"))))
                 totals.append(page.chars[0])
                 found: dict[tuple[int, int], tuple[int, bool]] = {}
@@ -297,7 +297,7 @@ def subtrees(rows: DataFrame) -> DataFrame:
 
 
 def templates(found: DataFrame, least_pages: int = 3, share: float = 1 / 3, share_in_article: float = 1 / 2, menu_share: float = 2 / 3, most_text: float = 1 / 2) -> DataFrame:
-    """(host, name) of what goes from a host's pages.
+    """(host, name) of what goes from a host's pages; hosts by their hashes.
 
     Pages of one text count as one, so that a page that was copied is no template. Contents: on ``least_pages`` pages and that
     ``share`` of the host's, more for parts of marked articles. Shapes of links: on ``menu_share``. Labels: where half of the
@@ -307,18 +307,19 @@ def templates(found: DataFrame, least_pages: int = 3, share: float = 1 / 3, shar
     each = found.select("host", "body", "total", F.explode("names").alias("e")).select("host", "body", "total", "e.kind", "e.name", "e.chars", "e.beside")
     once = each.groupBy("host", "kind", "name", "body").agg(F.max("chars").alias("chars"), F.max("total").alias("total"), F.min("beside").alias("beside"))
     counted = once.groupBy("host", "kind", "name").agg(F.count("*").alias("pages"), F.sum("chars").alias("chars"), F.sum("total").alias("total"), F.avg(F.col("beside").cast("int")).alias("beside"))
+    small = F.col("chars") <= most_text * F.col("total")
+    said = counted.filter(
+        (F.col("kind") == COMMENT) | (F.col("kind") == LABEL) & ((F.col("beside") >= 0.5) | small) | (F.col("kind") == BESIDE) & small
+    )
+    # only what recurs meets the numbers of hosts' pages: few rows, of a hot host too
+    often = counted.filter((F.col("pages") >= least_pages) & F.col("kind").isin(CONTENT, CONTENT_IN_ARTICLE, SHAPE))
     hosts = found.select("host", "body").distinct().groupBy("host").agg(F.count("*").alias("of"))
     part = F.col("pages") / F.col("of")
-    often = F.col("pages") >= least_pages
     goes = (
-        F.when(F.col("kind") == CONTENT, often & (part >= share))
-        .when(F.col("kind") == CONTENT_IN_ARTICLE, often & (part >= share_in_article))
-        .when(F.col("kind") == SHAPE, often & (part >= menu_share) & (F.col("chars") <= most_text * F.col("total")))
-        .when(F.col("kind") == LABEL, (F.col("beside") >= 0.5) | (F.col("chars") <= most_text * F.col("total")))
-        .when(F.col("kind") == BESIDE, F.col("chars") <= most_text * F.col("total"))
-        .otherwise(True)
+        F.when(F.col("kind") == CONTENT, part >= share).when(F.col("kind") == CONTENT_IN_ARTICLE, part >= share_in_article).otherwise((part >= menu_share) & small)
     )
-    return counted.join(hosts.hint("merge"), "host").filter(goes).select("host", "name").distinct()
+    recurring = often.join(hosts.hint("merge"), "host").filter(goes)
+    return said.select("host", "name").unionByName(recurring.select("host", "name")).distinct()
 
 
 def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 3) -> DataFrame:
