@@ -99,7 +99,8 @@ def test_spark_has_the_same_hash(spark):
     assert df.select(F.xxhash64("t").alias("h")).first()["h"] % 2**64 == xxhash.xxh64_intdigest(b"a b c d", 42)
 
 
-def test_ring_links_miss_nothing(spark):
+@pytest.mark.parametrize("level", [0, 1, 2])
+def test_ring_links_miss_nothing(spark, level):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 60, np.uint64) * np.uint64(2)
     prints = set(base.tolist())
@@ -112,19 +113,25 @@ def test_ring_links_miss_nothing(spark):
                 prints.add(y)
     prints = sorted(prints)
     df = spark.createDataFrame([(x - 2**64 if x >= 2**63 else x, i) for i, x in enumerate(prints)], "fp long, rep long")
-    links = simhash.ring_links(df).collect()
+    links = simhash.ring_links(df, level).collect()
     assert all((prints[r["a"]] ^ prints[r["b"]]).bit_count() <= 4 for r in links)
     arr = np.array(prints, np.uint64)
     near = [(i, j) for i in range(len(arr)) for j in np.flatnonzero(np.bitwise_count(arr ^ arr[i]) <= 4).tolist() if i < j]
     assert smallest_reachable(range(len(arr)), [(r["a"], r["b"]) for r in links]) == smallest_reachable(range(len(arr)), near)
 
 
+def test_longer_keys_are_wider():
+    widths = [min(sum(n for part in parts for _, n in part) for _, parts in simhash.ring_keys(*level[1:])) for level in simhash.LEVELS]
+    assert widths == [18, 24, 30]
+    assert [len(simhash.ring_keys(*level[1:])) for level in simhash.LEVELS] == [10, 30, 100]
+
+
 def test_simhash_empty(no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0
 
 
 def test_components(spark):
-    pairs = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 205), (205, 203), (500, 3)]
+    pairs = [(i, i + 1) for i in range(1000, 1300)] + [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 205), (205, 203), (500, 3)]
     got = {r["id"]: r["component_id"] for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     nodes = sorted({x for p in pairs if p[0] != p[1] for x in p})
     assert got == smallest_reachable(nodes, pairs)
@@ -204,6 +211,107 @@ def test_language_odd_cases(docs, no_docs, labelled):
     assert language_id.identify(docs, language_id.fit([])).filter("lang_pred <> 'und'").count() == 0
 
 
+def kneser_ney(texts, order):
+    """Interpolated Kneser-Ney in plain dictionaries: log probability of a symbol after those before it."""
+    import math
+    import re
+
+    def read(t):
+        folded = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in t)
+        return "\x01" * (order - 1) + re.sub(" +", " ", " " + folded)
+
+    raw = collections.Counter()
+    for t in texts:
+        x = read(t)
+        raw.update(x[i - order + 1 : i + 1] for i in range(order, len(x)))
+    tables = {order: raw}
+    for n in range(order - 1, 0, -1):  # how many symbols stand before each shorter gram
+        distinct = {x[i - n : i + 1] for t in texts for x in [read(t)] for i in range(order, len(x))}
+        tables[n] = collections.Counter(g[1:] for g in distinct)
+    seen = max(2, len(tables[1]))
+    sums, kinds, off = {}, {}, {}
+    for n, table in tables.items():
+        sums[n], kinds[n] = collections.Counter(), collections.Counter()
+        for g, c in table.items():
+            sums[n][g[:-1]] += c
+            kinds[n][g[:-1]] += 1
+        one, two = sum(c == 1 for c in table.values()), sum(c == 2 for c in table.values())
+        off[n] = one / (one + 2 * two) if one and two else 0.5
+
+    def p(context, symbol, n):
+        if n == 0:
+            return 1.0 / seen
+        c = context[len(context) - n + 1 :] if n > 1 else ""
+        if not sums[n][c]:
+            return p(context, symbol, n - 1)
+        if n == 1 and not tables[1][symbol]:
+            return None
+        rest = p(context, symbol, n - 1)
+        if rest is None:
+            return None
+        here = max(tables[n][c + symbol] - off[n], 0) / sums[n][c] + off[n] * kinds[n][c] / sums[n][c] * rest
+        return here * 0.999 if n == 1 else here
+
+    def log_p(context, symbol):
+        """An unseen symbol has what all weights on the way down leave of a small part."""
+        found, scale = p(context, symbol, order), 1.0
+        if found is not None:
+            return math.log(found)
+        for n in range(order, 1, -1):
+            c = context[len(context) - n + 1 :]
+            if sums[n][c]:
+                scale *= off[n] * kinds[n][c] / sums[n][c]
+        return math.log(scale / (4 * seen + 1000))
+
+    return read, log_p
+
+
+def test_model_is_kneser_ney(labelled):
+    """Every symbol's probability in every language, against a restatement in dictionaries."""
+    rows = [(t[:400], lang) for _, t, lang in labelled if t][:60]
+    model = language_id.fit(rows)
+    for k, lang in enumerate(model.languages):
+        own = [t for t, x in rows if x == lang]
+        read, log_p = kneser_ney([t for i, t in enumerate(own) if i % 5 or len(own) < 5], model.order)
+        for text in ["Über the qzx?", rows[0][0][:60], rows[-1][0][:60], "日本 abc ñ"]:
+            x = read(text)
+            sym, starts, _ = language_id.symbols([text], model.order)
+            assert len(sym) == len(x)
+            got = model.log_probs(sym)[k]
+            want = [log_p(x[:i], x[i]) for i in range(model.order, len(x))]
+            assert np.allclose(got[model.order :], want, atol=2e-4), (lang, text)
+
+
+def test_rejection_is_calibrated(labelled):
+    """False accepts of a language that was never learned, and of noise; rejected rows of those that were."""
+    rows = [(t, lang) for _, t, lang in labelled if t and len(t) > 60]
+    accepted, refused, noise = [], [], []
+    for left_out in sorted({lang for _, lang in rows}):
+        model = language_id.fit([r for i, r in enumerate(rows) if r[1] != left_out and i % 2])
+        accepted += model.predict([t for t, lang in rows if lang == left_out])[3].tolist()
+        own = [t for i, (t, lang) in enumerate(rows) if lang != left_out and not i % 2]
+        refused += (~model.predict(own)[3]).tolist()
+        noise += model.predict([language_id.noise(t, 1000 + i) for i, t in enumerate(own)])[3].tolist()
+    print("false accepts", np.mean(accepted), "of noise", np.mean(noise), "refused", np.mean(refused))
+    assert np.mean(noise) < 0.05 and np.mean(refused) < 0.02 and np.mean(accepted) < 0.2
+
+
+def test_long_text_in_slices(labelled, monkeypatch):
+    model = language_id.fit([(t, lang) for _, t, lang in labelled])
+    texts = ["", None, *(t for _, t, _ in labelled[:20])]
+    whole = model.entropies(texts)
+    monkeypatch.setattr(language_id, "SLICE", 97)
+    assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(whole, model.entropies(texts)))
+
+
+def test_rare_languages_are_learned(spark):
+    rng = np.random.default_rng(2)
+    rows = [(7 * i + j, " ".join("".join(chr(0x4E00 + 20 * i + x) for x in rng.integers(0, 20, 3)) for _ in range(40)), f"l{i:03d}") for i in range(420) for j in range(3)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len({lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 5}) == len(model.languages) > 400
+    assert model.predict([rows[-1][1]])[0] == [rows[-1][2]]
+
+
 def test_model_is_a_distribution(labelled):
     """The probabilities after a context sum to one over all letters seen, but for what unseen ones get."""
     model = language_id.fit([(t, lang) for _, t, lang in labelled][:60])
@@ -250,6 +358,34 @@ def test_store(spark, docs, texts, no_docs):
     assert token_store.read_digests(spark, none).count() == 0 and token_store.verify(spark, none)
 
 
+def test_store_lies_in_id_order(spark, docs):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    store = token_store.write_store(docs, WORD, True, 2)
+    ids = [i for f in sorted(glob.glob(f"{store.path}/recipes/part-*.parquet")) for i in pq.read_table(f)["id"].to_pylist()]
+    assert len(ids) == docs.count() and ids == sorted(ids, key=lambda i: -1 if i is None else i)
+
+
+def test_ids_beyond_16_bits(spark, docs, texts, tmp_path):
+    """A made-up tokenizer whose ids pass 65,535, and a width that is too small for it."""
+    import json
+
+    vocab = {"[UNK]": 0, "word": 70_000, "some": 65_535, "words": 65_536}
+    path = tmp_path / "words.json"
+    path.write_text(json.dumps({"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "decoder": None, "model": {"type": "WordLevel", "vocab": vocab, "unk_token": "[UNK]"}}))
+    assert token_store.id_width(str(path), 2) == 4 and token_store.id_width(WORD, 2) == 2 and token_store.id_width(WORD, 1 << 16) == 4
+    store = token_store.write_store(docs, str(path), False, 2)
+    encode = library(str(path))
+    got = collections.Counter((r["id"], r["n_tokens"], r["ids_crc32"]) for r in token_store.read_digests(spark, store).collect())
+    want = collections.Counter((i, len(encode(t)) + 1, zlib.crc32(np.array([*encode(t), 2], "<u4").tobytes())) for i, t in texts)
+    assert store.width == 4 and got == want
+    assert max(max(r["ids"]) for r in token_store.read_ids(spark, store).collect()) == 70_000
+    with pytest.raises(Exception, match="does not fit"):
+        token_store.write_store(docs, str(path), False, 2, width=2)
+
+
 def test_store_finds_damage(spark, docs):
     store = token_store.write_store(docs.filter("doc_id < 3"), WORD, True, 2)
     bad = store.dataset(spark, "chunks").withColumn("ids", F.concat(F.lit(b"\1\0"), F.expr("substring(ids, 3)")))
@@ -387,13 +523,43 @@ def test_top_k(spark):
     assert metric_tree.top_k(df.filter("vec_id < 0")).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    """Products beyond 2^53 are exact; components and scores beyond 64 bits are the ends of their range."""
+    rng = np.random.default_rng(18)
+    rows = [(i, [float(x) for x in rng.integers(-(10**6), 10**6, 3)]) for i in range(300)] + [(400, [4e6, 1.0, 0.0]), (401, [1e300, 0.0, 0.0]), (402, [-1e300, 0.0, 0.0])]
+    got = collections.defaultdict(list)
+    for r in metric_tree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    ends = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
+    q = {i: [ends(int(np.floor(1024 * x))) for x in v] for i, v in rows}
+    for i in (0, 100, 200, 400):
+        want = sorted((-sum(a * b for a, b in zip(q[i], v)), j) for j, v in q.items() if j != i)[:5]
+        assert got[i] == [(j, ends(-s)) for s, j in want]
+
+
+def test_regions_of_several_rings(spark, monkeypatch):
+    monkeypatch.setattr(metric_tree, "TREE", 40)
+    rng = np.random.default_rng(21)
+    x = np.concatenate([rng.normal(size=(500, 6)), 0.01 * rng.normal(size=(400, 6)) + 2])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in metric_tree.top_k(df, query_every=50).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    q = np.floor(1024 * x).astype(np.int64)
+    for i in range(0, 900, 50):
+        s = q @ q[i]
+        assert got[i] == [(j, int(s[j])) for j in sorted((j for j in range(900) if j != i), key=lambda j: (-s[j], j))[:10]]
+
+
 def test_tree_skips_by_stored_distances():
     rng = np.random.default_rng(0)
     raw = np.floor(rng.normal(size=(4000, 4)) * 50 + 1000 * rng.integers(-3, 4, (40, 4)).repeat(100, axis=0))
     tree = metric_tree.MTree(np.arange(4000), raw, metric_tree.Space(float((raw**2).sum(axis=1).max())))
-    found, computed = tree.search(-1, raw[0], 10, float("inf"))
-    best = sorted((-int(s), i) for i, s in enumerate(raw @ raw[0]))[:10]
-    assert sorted(found) == best and computed < 2000
+    queries = np.array([0, 1500, 3999])
+    found, computed = tree.search(np.full(3, -1), raw[queries], 10, np.full(3, np.inf))
+    for q, own in zip(queries, found):
+        assert own == sorted((-int(s), i) for i, s in enumerate(raw @ raw[q]))[:10]
+    assert computed.max() < 2000
     for n, radius in enumerate(tree.radius):
         if tree.entries[n] is not None:
             assert tree.entry_distance[n].max() <= radius + 1e-9
@@ -402,41 +568,78 @@ def test_tree_skips_by_stored_distances():
 # ---- HTML
 
 
-def test_page_parsing():
-    text = lambda s: html_text.joined([t for t, _ in html_text.parse_page(s)[1]])
+def main_text(spark, rows):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("gone", F.lit("clash"))
+    return sorted((r["page_id"], r["text"], r["n_chars"]) for r in html_text.main_text(df).collect())
+
+
+def test_pages_of_one_host_each(spark):
     cases = {
         "": "", "plain &amp; text": "plain & text", "<p>a<p>b": "a b", "<p>a<b>b</b>c<br>d</p>": "abc d", "a < b": "a < b", "<!-- x": "",
         "<script>var t='</p>';</script>x<style>y</style>": "x", "<div class='sidebar'>no</div><div>yes</div>": "yes", "<ul><li>1<li>2</ul>": "1 2",
         "<nav>m</nav><article><h1>T</h1><p>x&nbsp; y</p><form>f</form><div id=comments><p>c</p></div></article><footer>z</footer>": "T x y",
         "<article><p><b>open<br><p>next</p></article>rest": "open next", "<div hidden>h</div>k<textarea><p></textarea>": "k", "<p title='a>b'>t": "t",
-        "<article class=comment>c</article><main>m</main>": "m", "<article><header><h1>H</h1>by</header>x</article>": "H x",
+        "<article class=comment>c</article><main>m</main>": "m", "<article><header><h1>H</h1>by</header>x y z</article>": "H x y z",
+        "<div class='layout has-sidebar'><p>Article body</p></div>": "Article body", "<main><div class='content no-sidebar'>kept</div></main>": "kept",
+        "<main><div id='related-work'>b</div><div class='ad-free post'>c</div></main>": "b c", "<article>Text<div class='site-footer'>f</div></article>": "Text",
+        "<form id=all><article><p>text</p></article>beside</form>": "text", "<form><p>A page that is a form as a whole</p></form><p>x</p>": "A page that is a form as a whole x",
+        "<div>one</div><article>" + "long " * 9 + "</article>": ("long " * 9).strip(), "<div>" + "much more text here " * 9 + "</div><article>teaser</article>": ("much more text here " * 9 + "teaser").strip(),
     }
-    assert {s: text(s) for s in cases} == cases
+    got = main_text(spark, [(i, f"http://h{i}.example/", x) for i, x in enumerate(cases)])
+    assert got == [(i, x, len(x)) for i, x in enumerate(cases.values())]
+
+
+def test_depth_costs_nothing():
+    import time
+
+    began = time.time()
+    page = html_text.Page("<div>x" * 5000 + "</div>" * 5000)
+    assert len(page.text().split()) == 5000 and time.time() - began < 5
 
 
 def test_templates_of_a_host(spark):
     menu, legal = "<div><p>Home</p><p>Shop now</p></div>", "<div>All rights reserved by us</div>"
     rows = [(i, f"http://h.example/{i}", f"<body>{menu}<div><p>Story {i} told</p></div>{legal}</body>") for i in range(6)]
     rows += [(10, "http://other.example/", f"<body>{menu}<p>Once</p></body>"), (11, None, None), (12, "http://h.example/9", ""), (10, "http://other.example/", f"<body>{menu}<p>Once</p></body>")]
-    rows += [(20 + i, "http://c.example/", "<div><p>One page copied</p></div>") for i in range(5)]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
-    got = [(r["page_id"], r["text"], r["n_chars"]) for r in html_text.main_text(df).collect()]
-    assert sorted(got) == sorted([(i, f"Story {i} told", 12) for i in range(6)] + 2 * [(10, "Home Shop now Once", 18)] + [(11, "", 0), (12, "", 0)] + [(20 + i, "One page copied", 15) for i in range(5)])
+    rows += [(20 + i, "http://c.example/", "<div><p>One page copied</p></div>") for i in range(5)] + [(None, "http://h.example/n", f"<body>{menu}<p>No id</p></body>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = collections.Counter((r["page_id"], r["text"], r["n_chars"]) for r in html_text.main_text(df).collect())
+    want = [(i, f"Story {i} told", 12) for i in range(6)] + 2 * [(10, "Home Shop now Once", 18)] + [(11, "", 0), (12, "", 0)] + [(20 + i, "One page copied", 15) for i in range(5)] + [(None, "No id", 5)]
+    assert got == collections.Counter(want)
     assert html_text.main_text(df.filter("page_id < 0")).count() == 0
 
 
 def test_text_of_a_few_pages_of_a_large_host_stays(spark):
     menu = "<div><p>Home</p><p>Shop now</p></div>"
     rows = [(i, f"http://h.example/{i}", f"<body>{menu}<p>Story {i}</p>{'<p>As was said</p>' if i < 5 else ''}</body>") for i in range(40)]
-    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got == {i: f"Story {i} As was said" if i < 5 else f"Story {i}" for i in range(40)}
+    assert main_text(spark, rows) == [(i, x, len(x)) for i in range(40) for x in [f"Story {i} As was said" if i < 5 else f"Story {i}"]]
 
 
 def test_templates_inside_marked_articles(spark):
     more = "<div><p>Read on</p><p>Top ten</p></div>"
     rows = [(i, f"http://h.example/{i}", f"<body><article><p>Story {i}</p>{more}{'<p>As was said</p>' if i < 5 else ''}</article></body>") for i in range(40)]
-    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got == {i: f"Story {i} As was said" if i < 5 else f"Story {i}" for i in range(40)}
+    assert main_text(spark, rows) == [(i, x, len(x)) for i in range(40) for x in [f"Story {i} As was said" if i < 5 else f"Story {i}"]]
+
+
+def test_menus_without_names(spark):
+    """Each page's menu has other entries; its shape recurs, and it is links."""
+    rows = [(i, f"http://m.example/{i}", f"<body><div><ul>{''.join(f'<li><a href=x>Entry {i} {j}</a></li>' for j in range(3 + i % 2))}</ul></div><p>Story {i} is told here at some length, see <a href=y>this</a></p></body>") for i in range(9)]
+    assert [x for _, x, _ in main_text(spark, rows)] == [f"Story {i} is told here at some length, see this" for i in range(9)]
+
+
+def test_pages_against_a_restatement(spark, small):
+    """The whole table: what stands in its articles. Without the counts each page keeps its menu, its advert and its footer."""
+    import html
+    import re
+
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    got = {r["page_id"]: (r["url"], r["text"], r["n_chars"]) for r in html_text.main_text(pages).collect()}
+    for r in pages.collect():
+        inside = r["html"].split("<article>", 1)[1].split("</article>", 1)[0]
+        inside = re.sub(r"</?b>", "", re.sub(r"<!--.*?-->", "", inside))
+        want = " ".join(html.unescape(re.sub(r"<[^<>]*>", "\n", inside)).split())
+        assert got[r["page_id"]] == (r["url"], want, len(want))
+        assert html_text.Page(r["html"]).text() != want
 
 
 # ---- chaining
@@ -519,10 +722,128 @@ def test_equal_stretches_share_seeds():
     for words in (2, 50, 10**6):
         same = rng.integers(0, words, 50)
         texts = [np.r_[rng.integers(0, words, n), same, rng.integers(0, words, m)].astype(np.uint64) for n, m in ((0, 0), (30, 7), (3, 90))]
-        text, pos, h = chaining.seeds(_text.mix(np.concatenate(texts)), np.array([len(t) for t in texts]))
-        for first in (0, chaining.LONG):
-            inside = [{int(x) for x, p, t in zip(h, pos - first, text) if t == i and n <= p <= n + 50 - (chaining.LONG_K if first else chaining.K)} for i, n in enumerate((0, 30, 3))]
-            assert set.intersection(*inside)
+        text, pos, h, right, left = chaining.seeds(_text.mix(np.concatenate(texts)), np.array([len(t) for t in texts]))
+        inside = [{(int(x), int(p) - n) for x, p, t in zip(h, pos, text) if t == i and n <= p <= n + 50 - chaining.K} for i, n in enumerate((0, 30, 3))]
+        assert len(set.intersection(*inside)) >= (50 - chaining.K + 1) // chaining.WINDOW
+        around = [{(int(p) - n, int(r), int(x)) for p, r, x, t in zip(pos, right, left, text) if t == i and n + 4 <= p <= n + 41} for i, n in enumerate((0, 30, 3))]
+        assert set.intersection(*around)
+
+
+def test_chains_do_not_share_names(spark):
+    """A repeat at both texts' beginnings before a long copy; changed stretches in some copies."""
+    rng = np.random.default_rng(23)
+    w = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    rows, want = [], {}
+    for i in range(100):
+        head, body, mine = w(24), w(200), w(5)
+        copy = list(body)
+        if i % 2:
+            copy[70:80], copy[140:155] = w(10), w(15)
+        rows += [(2 * i, " ".join([*head, *w(30), *body])), (2 * i + 1, " ".join([*head, *mine, *copy]))]
+        want[2 * i + 1] = (29, 229)
+    got = collections.defaultdict(set)
+    for r in chaining.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r["id"]] |= set(range(r["start_word"], r["end_word"]))
+    assert set(got) == set(want) and all(len(got[i] & set(range(a, b))) >= 190 for i, (a, b) in want.items())
+
+
+def test_ids_of_several_texts(spark):
+    rng = np.random.default_rng(24)
+    w = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    same, other = w(200), w(120)
+    df = spark.createDataFrame([(1, same), (2, same), (2, other), (2, other), (3, other + " end"), (None, same)], "doc_id long, text string")
+    found = chaining.repeated_passages(df)
+    assert sorted((r["id"], r["start_word"], r["end_word"], r["source_id"], r["identity"]) for r in found.collect()) == [(2, 0, 200, 1, 1.0), (3, 0, 120, 2, 1.0)]
+    left = sorted((r["doc_id"] or 0, r["text"]) for r in chaining.drop_passages(df, found).collect())
+    assert left == [(0, same), (1, same), (2, other), (2, other), (3, "end")]
+
+
+def runs_and_cover(rows, found, least=50):
+    """(start of each run of ``least`` words that an earlier text holds, by id; words that passages cover, by id)."""
+    first, runs, covered = {}, collections.defaultdict(list), collections.defaultdict(set)
+    for i, t in rows:
+        w = t.lower().split()
+        for p in range(len(w) - least + 1):
+            if first.setdefault(tuple(w[p : p + least]), i) != i:
+                runs[i].append(p)
+    for r in found:
+        covered[r["id"]] |= set(range(r["start_word"], r["end_word"]))
+    return runs, covered
+
+
+@pytest.mark.parametrize("flush", [chaining.FLUSH, 20_000])
+def test_every_repeated_run_is_covered(spark, flush, monkeypatch):
+    """Spans against brute force: copies, templates that most texts share, repeats within texts, runs of exactly 50 words
+    behind many holders of their seeds; in one flush and in many."""
+    monkeypatch.setattr(chaining, "FLUSH", flush)
+    rng = np.random.default_rng(25)
+    draw = lambda n, words=50_000: [f"w{x}" for x in rng.integers(0, words, n)]
+    line, passage, base = draw(12), draw(70), draw(300)
+    kinds = [
+        lambda i: draw(150), lambda i: draw(40) + passage + draw(40), lambda i: base[: 150 + i] + draw(30), lambda i: line * 6 + draw(60), lambda i: draw(30) + line * (i % 9) + draw(30),
+        lambda i: draw(20) + passage[i % 20 : 50 + i % 20] + draw(20), lambda i: passage[:35] + draw(9) + passage[30:], lambda i: draw(120, 3),
+    ]
+    rows = [(i, " ".join(kinds[i % len(kinds)](i))) for i in range(200)]
+    found = chaining.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    runs, covered = runs_and_cover(rows, found)
+    assert sum(map(len, runs.values())) > 3000
+    for i, starts in runs.items():
+        for p in starts:
+            assert covered[i] >= set(range(p, p + 50)), (i, p)
+    texts = dict(rows)
+    for r in found:  # what is reported is alike
+        mine, theirs = texts[r["id"]].split()[r["start_word"] : r["end_word"]], texts[r["source_id"]].split()[r["source_start"] : r["source_end"]]
+        assert r["source_id"] < r["id"] and len(mine) >= 50 and len(set(mine) & set(theirs)) >= 0.7 * len(set(mine))
+
+
+def test_recall_of_edited_passages(spark):
+    """One word in ten, or in seven, is changed, left out or followed by another."""
+    rng = np.random.default_rng(26)
+    draw = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+
+    def edited(p, rate):
+        out = []
+        for x in p:
+            y = rng.random() / rate
+            out += [x] if y >= 1 else draw(1) if y < 0.5 else [] if y < 0.75 else [x, *draw(1)]
+        return out
+
+    rows, planted = [], {}
+    for i in range(300):
+        p = draw(60 if i % 2 else 100)
+        rate = 0.1 if i < 150 else 0.15
+        q = edited(p, rate)
+        rows += [(2 * i, " ".join(draw(80) + p + draw(30))), (2 * i + 1, " ".join(draw(50) + q + draw(70)))]
+        planted[2 * i + 1] = (50, 50 + len(q), rate, len(p))
+    _, covered = runs_and_cover([], chaining.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert set(covered) <= set(planted)
+    hit = collections.defaultdict(list)
+    for i, (a, b, rate, n) in planted.items():
+        hit[rate, n].append(len(covered[i] & set(range(a, b))) >= 0.8 * (b - a))
+        assert all(a - 10 <= x < b + 10 for x in covered[i])
+    recall = {k: np.mean(v) for k, v in hit.items()}
+    assert recall[0.1, 100] > 0.97 and recall[0.1, 60] > 0.9 and recall[0.15, 100] > 0.85 and recall[0.15, 60] > 0.75, recall
+
+
+def test_common_seeds_are_lengthened(spark, monkeypatch):
+    """With a low threshold most seeds count as common: the same runs are covered."""
+    monkeypatch.setattr(chaining, "COMMON", 3)
+    rng = np.random.default_rng(27)
+    draw = lambda n: [f"w{x}" for x in rng.integers(0, 50_000, n)]
+    passage = draw(80)
+    rows = [(i, " ".join(draw(30) + (passage if i % 3 else passage[:55]) + draw(30))) for i in range(60)]
+    runs, covered = runs_and_cover(rows, chaining.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert len(runs) == 59 and all(covered[i] >= set(range(p, p + 50)) for i, starts in runs.items() for p in starts)
+
+
+def test_gaps_of_any_length():
+    rng = np.random.default_rng(28)
+    for n, m in ((0, 3), (5, 7), (200, 130), (900, 1100)):
+        x, y = rng.integers(0, 30, n), rng.integers(0, 30, m)
+        row = np.zeros(m + 1, np.int64)
+        for w in x:
+            row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (y == w)))
+        assert chaining._common(x, y) == row[-1]
 
 
 def test_source_behind_more_holders_of_its_seeds(spark):

@@ -27,7 +27,7 @@ from tracemill.llm.components import components
 #: (first bit, bits) of the ring's segments, and how many bits two fingerprints may differ in.
 SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 MOST_DIFFERENT = 4
-#: (fingerprints at most, segments of a key's chain, parts of it that must be equal): keys of 19, 26 and 32 bits at least,
+#: (fingerprints at most, segments of a key's chain, parts of it that must be equal): keys of 18, 24 and 30 bits at least,
 #: of which a fingerprint has 10, 30 and 100.
 LEVELS = ((1 << 24, 2, 1), (1 << 31, 3, 2), (1 << 62, 4, 3))
 #: Bits of an index key below its number.
