@@ -5,8 +5,9 @@ blank. The models of all languages are stored together: for every context length
 of 64-bit hashes, and beside it a column of log probabilities for each language (of what follows)
 or of log back-off weights (of contexts). A text is scored in one pass of binary searches; the
 language of the lowest cross-entropy per character wins. A text is rejected where that entropy lies beyond a limit that
-calibration sets for each language, between the entropies of its own rows that were not fitted on and those of what it should not
-take: rows of the other languages, judged as if theirs were unknown, and the rows' letters in random order.
+calibration sets for each language, between the entropies of its own rows that were not fitted on and those of the rows' letters
+in random order. It lies nearer to the former's end, but above it: rows in two languages and rows with codes in them stay, and a
+language that is close kin to a learned one is taken for that.
 """
 
 from __future__ import annotations
@@ -255,8 +256,8 @@ def _one_language(texts: list[str], order: int) -> tuple[list, list, float]:
 def fit(rows: list[tuple[str, str]], order: int = 4, calibrate: float = 0.2, quantile: float = 0.999) -> KneserNey:
     """A model of (text, language) rows; every fifth of a language's rows calibrates and is not counted.
 
-    Rejection: half-way from the ``quantile`` of the calibration rows' entropies to the entropies of what the language should
-    not take, with a slack for short texts by pieces of the calibration rows. The score's scale is fitted to the calibration
+    Rejection: a third of the way from the ``quantile`` of the calibration rows' entropies to the lowest hundredth of those of
+    noise, with a slack for short texts by pieces of the calibration rows. The score's scale is fitted to the calibration
     rows' log likelihood. Without rows the model has no language and knows nothing.
     """
     languages = sorted({lang for _, lang in rows})
@@ -319,10 +320,8 @@ def _calibrate(model: KneserNey, held: list[tuple[str, str]], quantile: float) -
     h, n, letters = model.entropies([t for t, _ in held])
     truth = np.array([model.languages.index(x) for _, x in held])
     ok = letters > 0
-    # what should be rejected: each row by the best of the other languages, where there are others, and noise by the best of all
-    others = h.copy()
-    others[np.arange(len(h)), truth] = np.inf
     odd, odd_n, _ = model.entropies([noise(t, i) for i, (t, _) in enumerate(held)])
+    odd = odd[odd_n >= 50].min(axis=1)
     long = ok & (n >= 50)
     # short texts: the first 20, 60 and 200 characters of the rows
     shorts = [(t[:m], k) for (t, _), k in zip(held, truth) for m in (20, 60, 200)]
@@ -333,9 +332,8 @@ def _calibrate(model: KneserNey, held: list[tuple[str, str]], quantile: float) -
         if not len(own):
             continue
         high = np.quantile(own, quantile)
-        wrong = np.r_[others[long & (truth != k) & (others.argmin(axis=1) == k), k], odd[long & (odd.argmin(axis=1) == k), k]]
-        low = max(high, np.quantile(wrong, 1 - quantile)) if len(wrong) else 1.5 * high
-        model.cross[k] = (high + low) / 2
+        low = max(high, np.quantile(odd, 0.01)) if len(odd) else 2 * high
+        model.cross[k] = high + (low - high) / 3
         mine = (sk == k) & (sl > 0)
         if mine.any():
             model.slack[k] = max(0.0, np.quantile((sh[mine, k] - model.cross[k]) * np.sqrt(np.maximum(sn[mine], 1)), quantile))
@@ -354,7 +352,7 @@ def in_fold(id_col: str, folds: int = 5) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds)) == 0, F.lit(True))
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_chars: int = 2_000_000, order: int = 4) -> KneserNey:
+def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_chars: int = 600_000, order: int = 4) -> KneserNey:
     """Fit on labelled rows outside the held-out fold.
 
     The sample is bounded: of each language whole texts of about ``most_chars`` characters in all, those of the least hashes of
