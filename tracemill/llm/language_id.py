@@ -6,7 +6,7 @@ of 64-bit hashes, and beside it a column of log probabilities for each language
 or of log back-off weights (of contexts). A text is scored in one pass of binary searches; the
 language of the lowest cross-entropy per character wins. A text is rejected where that entropy lies beyond a limit that
 calibration sets for each language, between the entropies of its own rows that were not fitted on and those of the rows' letters
-in random order. It lies nearer to the former's end, but above it: rows in two languages and rows with codes in them stay, and a
+in random order. Rows in two languages and rows with codes in them stay, and a
 language that is close kin to a learned one is taken for that.
 """
 
@@ -256,7 +256,7 @@ def _one_language(texts: list[str], order: int) -> tuple[list, list, float]:
 def fit(rows: list[tuple[str, str]], order: int = 4, calibrate: float = 0.2, quantile: float = 0.999) -> KneserNey:
     """A model of (text, language) rows; every fifth of a language's rows calibrates and is not counted.
 
-    Rejection: a third of the way from the ``quantile`` of the calibration rows' entropies to the lowest hundredth of those of
+    Rejection: half-way from the ``quantile`` of the calibration rows' entropies to the lowest hundredth of those of
     noise, with a slack for short texts by pieces of the calibration rows. The score's scale is fitted to the calibration
     rows' log likelihood. Without rows the model has no language and knows nothing.
     """
@@ -333,7 +333,7 @@ def _calibrate(model: KneserNey, held: list[tuple[str, str]], quantile: float) -
             continue
         high = np.quantile(own, quantile)
         low = max(high, np.quantile(odd, 0.01)) if len(odd) else 2 * high
-        model.cross[k] = high + (low - high) / 3
+        model.cross[k] = (high + low) / 2
         mine = (sk == k) & (sl > 0)
         if mine.any():
             model.slack[k] = max(0.0, np.quantile((sh[mine, k] - model.cross[k]) * np.sqrt(np.maximum(sn[mine], 1)), quantile))
