@@ -1,7 +1,5 @@
 from __future__ import annotations
 
-import itertools
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,32 +37,41 @@ def test_native_render_is_the_local_one(spark):
             assert prompt_of(spark, conv, spec, add_generation_prompt=generate) == want
 
 
-def restated(p: str, think: str | None, reply: str | None, include: bool | None) -> str:
-    o, c = INFO.open_tag, INFO.close_tag
-    bare = p.rstrip("\n")
-    is_open = bare.endswith(o)
-    if think is None and reply is None:
-        return p if include is None else bare[: -len(o)] if include is False and is_open else bare if is_open or include is False else f"{bare}\n{o}"
-    out = bare
-    if think is not None:
-        out = (bare if is_open else f"{bare}\n{o}") + f"\n{think}"
-    if reply is not None:
-        if think is not None:
-            out += f"\n{c}"
-        elif is_open:
-            out = bare[: -len(o)] if include is False else f"{bare}\n{c}"
-        out += f"\n{reply}"
-    return out
-
-
-def test_truth_table(spark):
-    prompts = ["", "\n", "q", "q\n\n", "q<think>", "q<think>\n", "q<THINK>", "<think>", "q\n<think>\n\n"]
-    prefixes = [None, "", "Okay, "]
+#: (prompt, thought prefix, response prefix, add_generation_reasoning) and the prompt that is expected, one by one.
+SEEDED = [
+    ("q\n\n", None, None, None, "q\n\n"),
+    ("q<think>\n", None, None, None, "q<think>\n"),
+    ("", None, None, True, "\n<think>"),
+    ("q", None, None, True, "q\n<think>"),
+    ("q\n\n", None, None, True, "q\n<think>"),
+    ("q<think>\n", None, None, True, "q<think>"),
+    ("q<THINK>", None, None, True, "q<THINK>\n<think>"),
+    ("q\n", None, None, False, "q"),
+    ("q\n<think>\n\n", None, None, False, "q\n"),
+    ("<think>", None, None, False, ""),
+    ("q", "Okay, ", None, None, "q\n<think>\nOkay, "),
+    ("q\n<think>\n", "Okay, ", None, None, "q\n<think>\nOkay, "),
+    ("q\n<think>\n", "", None, True, "q\n<think>\n"),
+    ("q<THINK>", "Okay, ", None, True, "q<THINK>\n<think>\nOkay, "),
+    ("q\n", None, "Answer:", None, "q\nAnswer:"),
+    ("q\n", None, "Answer:", True, "q\nAnswer:"),
+    ("q\n<think>\n", None, "Answer:", None, "q\n<think>\n</think>\nAnswer:"),
+    ("q\n<think>\n", None, "Answer:", True, "q\n<think>\n</think>\nAnswer:"),
+    ("q\n<think>\n", None, "Answer:", False, "q\n\nAnswer:"),
+    ("q\n", None, "Answer:", False, "q\nAnswer:"),
+    ("q\n", None, "", None, "q\n"),
+    ("q", "Okay, ", "Answer:", None, "q\n<think>\nOkay, \n</think>\nAnswer:"),
+    ("q<think>", "Okay, ", "Answer:", True, "q<think>\nOkay, \n</think>\nAnswer:"),
+    ("q<think>", "", "", None, "q<think>\n\n</think>\n"),
+]
+
+
+def test_seeded_prompts(spark):
     for include in (None, True, False):
-        rows = [(p, t, r) for p, t, r in itertools.product(prompts, prefixes, [None, "", "Answer:"]) if not (include is False and t is not None)]
-        df = spark.createDataFrame(rows, "p string, t string, r string")
-        got = df.select(inject_prefixes(df.p, INFO, df.t, df.r, include).alias("x")).collect()
-        assert [g["x"] for g in got] == [restated(*row, include) for row in rows]
+        rows = [(p, t, r, want) for p, t, r, given, want in SEEDED if given is include]
+        df = spark.createDataFrame(rows, "p string, t string, r string, want string")
+        got = df.select("want", inject_prefixes(df.p, INFO, df.t, df.r, include).alias("x")).collect()
+        assert [g["x"] for g in got] == [g["want"] for g in got]
 
 
 def test_literal_prefixes(spark):

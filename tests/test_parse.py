@@ -119,3 +119,16 @@ def test_other_columns_stay(spark):
 def test_plan_has_no_python(spark):
     plan = parse(io.from_flat(spark, ["a"]), info=THINK, tokenizer=Words())._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_prompts_do_not_count_for_models_that_were_prefixed(spark):
+    df = spark.createDataFrame([("plain", "q<think>\n")], "response string, prompt string")
+    for given, add, want in ((True, False, "missing"), (False, False, "truncated"), (False, None, "truncated"), (True, None, "truncated"), (False, True, "truncated")):
+        row = parse(df, info=ModelInfo(given), prompt_col="prompt", add_generation_reasoning=add).first()
+        assert row[f"has_{want}_reasoning"], (given, add)
+
+
+def test_columns_with_clashing_names(spark):
+    df = spark.createDataFrame([("<think>a</think>b", "old", 1, 2)], "response string, answer string, _parsed int, _closed int")
+    row = parse(df, info=ModelInfo(False)).select("answer", "reasoning", "_parsed", "_closed").first()
+    assert tuple(row) == ("b", "a", 1, 2)

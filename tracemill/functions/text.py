@@ -14,6 +14,18 @@ WHITE_SPACE = "".join(
 )
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Names for columns of a plan's own, which none of ``columns`` has."""
+    have = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        name = f"_{name}"
+        while name in have:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITE_SPACE))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.functions.text import after_last, any_case, halves, strip
+from tracemill.functions.text import after_last, any_case, halves, strip, unused
 
 # The default wording of a distillation prompt.
 PREAMBLE = (
@@ -13,16 +13,16 @@ PREAMBLE = (
     "Given the following question and its correct answer, give a concise summary of the reasoning steps that explains how to arrive at the answer."
 )
 TAG = "reasoning_steps"
+QUESTION, ANSWER = "\n\nQuestion: ", "\n\nAnswer: "
+ASK = "\n\nIn your response, give the reasoning steps inside <{tag}> tags."
+START = "\n\nStart your reasoning with 'Okay, ', for example:\n<{tag}>\nOkay, [your reasoning steps here]\n</{tag}>"
+EXAMPLE = "\n\nHere is a complete example:\n{example}"
 
 
 def distill_prompt(instruction: Column, response: Column, tag: str = TAG, preamble: str = PREAMBLE, example: str | None = None) -> Column:
     """A NULL field makes a NULL prompt."""
-    if example is None:
-        closing = f"\n\nStart your reasoning with 'Okay, ', for example:\n<{tag}>\nOkay, [your reasoning steps here]\n</{tag}>"
-    else:
-        closing = f"\n\nHere is a complete example:\n{example}"
-    asked = f"\n\nIn your response, give the reasoning steps inside <{tag}> tags."
-    return F.concat(F.lit(f"{preamble}\n\nQuestion: "), instruction, F.lit("\n\nAnswer: "), response, F.lit(asked + closing))
+    closing = START.format(tag=tag) if example is None else EXAMPLE.format(example=example)
+    return F.concat(F.lit(preamble + QUESTION), instruction, F.lit(ANSWER), response, F.lit(ASK.format(tag=tag) + closing))
 
 
 def build_prompts(df: DataFrame, instruction: str = "instruction", response: str = "response", output: str = "prompt", **options: str | None) -> DataFrame:
@@ -43,10 +43,11 @@ def update_records(records: DataFrame, output: str = "output", field: str = "rea
 
 def join_outputs(records: DataFrame, outputs: DataFrame, on: str = "record_id") -> DataFrame:
     """Records with their outputs; one without the other is an error, as lists of unequal lengths are."""
-    both = records.withColumn("_l", F.lit(1)).join(outputs.withColumn("_r", F.lit(1)), on, "full_outer")
+    left, right = unused([*records.columns, *outputs.columns], "left", "right")
+    both = records.withColumn(left, F.lit(1)).join(outputs.withColumn(right, F.lit(1)), on, "full_outer")
     bad = F.raise_error(F.lit("records and outputs do not match"))
-    key = F.when(F.col("_l").isNull() | F.col("_r").isNull(), bad.cast(records.schema[on].dataType)).otherwise(F.col(on))
-    return both.withColumn(on, key).drop("_l", "_r")
+    key = F.when(F.col(left).isNull() | F.col(right).isNull(), bad.cast(records.schema[on].dataType)).otherwise(F.col(on))
+    return both.withColumn(on, key).drop(left, right)
 
 
 def conversation(instruction: Column, response: Column, reasoning: Column | None = None) -> Column:

@@ -7,7 +7,7 @@ from enum import IntFlag
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.functions.text import head, last_index, strip, tail
+from tracemill.functions.text import head, last_index, strip, tail, unused
 from tracemill.functions.tokenizers import CodePoints, ColumnTokenizer
 from tracemill.operators.chat import chat_text
 from tracemill.operators.model import TemplateSpec, get_model_info
@@ -24,6 +24,7 @@ class MaskType(IntFlag):
 #: What each training strategy masks.
 STRATEGIES = {"default": None, "bare": None, "empty": None, "mask": MaskType.THINK, "respond": MaskType.THINK | MaskType.PROMPT}
 IGNORE = -100
+SEQUENCE = ("input_ids", "labels", "attention_mask")
 
 
 def with_empty_reasoning(messages: Column) -> Column:
@@ -76,29 +77,31 @@ def apply_mask(
     """``df`` with input_ids, labels and attention_mask. Each conversation ends in the response.
 
     Parts are found by how many tokens the text before them has; everything stays in the JVM for
-    native tokenizers.
+    native tokenizers. Columns of ``df`` that have the names of SEQUENCE are replaced; other names cannot clash.
     """
     tokenizer, flags = tokenizer or CodePoints(), MaskType(0) if masked is None else masked
     info = get_model_info(spec, override_tag)
     chat = with_empty_reasoning(F.col(messages)) if flags else F.col(messages)
-    staged = df.withColumn("_chat", chat)
-    staged = staged.withColumn("_text", training_text(F.col("_chat"), spec, override_tag, single_block))
-    staged = staged.withColumn("input_ids", tokenizer.encode(F.col("_text"), max_seq_length).cast("array<int>"))
-    text = F.col("_text")
+    c_chat, c_text, c_ids, c_think, c_reply = unused(df.columns, "chat", "text", "ids", "think", "reply")
+    staged = df.withColumn(c_chat, chat)
+    staged = staged.withColumn(c_text, training_text(F.col(c_chat), spec, override_tag, single_block))
+    staged = staged.withColumn(c_ids, tokenizer.encode(F.col(c_text), max_seq_length).cast("array<int>"))
+    text = F.col(c_text)
     if flags:
         think = F.instr(text, F.lit(info.open_tag))
-        reply = last_index(text, F.element_at("_chat", -1)["content"])
+        reply = last_index(text, F.element_at(c_chat, -1)["content"])
         reply = F.when(reply < 0, F.greatest(F.length(text) - 1, F.lit(0))).otherwise(reply)
         staged = staged.withColumns(
             {
-                "_think": F.when(think > 0, tokenizer.count(head(text, think - 1), max_seq_length)),
-                "_reply": tokenizer.count(head(text, reply), max_seq_length),
+                c_think: F.when(think > 0, tokenizer.count(head(text, think - 1), max_seq_length)),
+                c_reply: tokenizer.count(head(text, reply), max_seq_length),
             }
         )
-        labels = masked_labels(F.col("input_ids"), F.col("_think"), F.col("_reply"), flags, ignore_index)
+        labels = masked_labels(F.col(c_ids), F.col(c_think), F.col(c_reply), flags, ignore_index)
     else:
-        labels = F.col("input_ids")
-    return staged.select(*[F.col(f"`{c}`") for c in df.columns], "input_ids", labels.alias("labels"), F.array_repeat(F.lit(1), F.size("input_ids")).alias("attention_mask"))
+        labels = F.col(c_ids)
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in SEQUENCE]
+    return staged.select(*kept, F.col(c_ids).alias("input_ids"), labels.alias("labels"), F.array_repeat(F.lit(1), F.size(c_ids)).alias("attention_mask"))
 
 
 def label_counts(labels: Column, ignore_index: int = IGNORE) -> tuple[Column, Column]:

@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.functions.text import halves, is_blank, strip, without_first
+from tracemill.functions.text import halves, is_blank, strip, unused, without_first
 from tracemill.functions.tokenizers import ColumnTokenizer
 from tracemill.operators.model import ModelInfo, TemplateSpec, get_model_info
 
@@ -79,19 +79,22 @@ def parse(
 ) -> DataFrame:
     """``df`` with FIELDS of each response. A NULL response has NULL fields.
 
-    ``prompt_col``: prompts row by row, in place of one that stands for all. Token counts are NULL
-    without a tokenizer.
+    ``prompt_col``: prompts row by row, in place of one that stands for all; like that one, they count only where the model is
+    not prefixed of itself and ``add_generation_reasoning`` is not True. Token counts are NULL without a tokenizer. Columns of
+    ``df`` that have the names of FIELDS are replaced; other names cannot clash.
     """
+    given = get_model_info(template, override_tag) if template is not None else info
     info = effective_info(info, template, override_tag, prompt, add_generation_reasoning)
     open_re, close_re = info.tag_regex
     prefixed = None
-    if prompt_col is not None and not info.prefixed:
+    if prompt_col is not None and not info.prefixed and not given.prefixed:
         prefixed = F.coalesce(prompt_opens(F.col(prompt_col), info), F.lit(False))
     r = F.col(response)
-    staged = df.withColumns({"_closed": halves(r, close_re), "_opened": halves(r, open_re)})
+    closed, opened, fields = unused(df.columns, "closed", "opened", "parsed")
+    staged = df.withColumns({closed: halves(r, close_re), opened: halves(r, open_re)})
     count = tokenizer.count if tokenizer else None
-    staged = staged.withColumn("_parsed", _fields(r, F.col("_closed"), F.col("_opened"), info, prefixed, count))
-    return staged.select(*[F.col(f"`{c}`") for c in df.columns], "_parsed.*")
+    staged = staged.withColumn(fields, _fields(r, F.col(closed), F.col(opened), info, prefixed, count))
+    return staged.select(*[F.col(f"`{c}`") for c in df.columns if c not in FIELDS], f"{fields}.*")
 
 
 def parse_array(responses: Column, info: ModelInfo, count: Callable[[Column], Column] | None = None) -> Column:

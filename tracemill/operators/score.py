@@ -9,8 +9,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from tracemill.functions.text import is_blank, strip
+from tracemill.functions.text import is_blank, strip, unused
 
 # Patterns of a chosen letter, tried in order over the upper-cased text, then over its end.
 IN_TEXT = (r"(?:ANSWER|CHOICE)\s*(?:IS|:)\s*([A-Z])\b", r"\\BOXED\{([A-Z])\}", r"\b([A-Z])\s*[.\):]?\s*$")
@@ -49,20 +50,21 @@ def code_passes(df: DataFrame, answer: str = "answer", output: str = "correct",
     """
     if not allow_execution:
         raise ValueError("running generated code must be allowed explicitly")
-    rows = df.withColumn("_code", code_block(F.col(answer)))
-    schema = df.schema.add(output, "boolean")
+    (code_col,) = unused(df.columns, "code")
+    rows = df.withColumn(code_col, code_block(F.col(answer)))
+    schema = StructType([*df.schema.fields, StructField(output, BooleanType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             passed = []
-            for code, test, name in zip(batch["_code"], batch["test_code"], batch["entry_point"]):
+            for code, test, name in zip(batch[code_col], batch["test_code"], batch["entry_point"]):
                 program = "\n".join([str(code), str(test), f"check({name})"])
                 try:
                     done = subprocess.run([sys.executable, "-I", "-c", program], capture_output=True, timeout=seconds)
                     passed.append(done.returncode == 0)
                 except (subprocess.TimeoutExpired, ValueError, OSError):
                     passed.append(False)
-            yield batch.drop(columns=["_code"]).assign(**{output: passed})
+            yield batch.drop(columns=[code_col]).assign(**{output: passed})
 
     return rows.mapInPandas(run, schema)
 

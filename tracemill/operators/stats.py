@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.functions.text import unused
+
 RATES = {
     "valid_reasoning_rate": "has_valid_reasoning",
     "invalid_reasoning_rate": "has_invalid_reasoning",
@@ -53,20 +55,25 @@ def compute_stats(df: DataFrame, task_col: str | None = None, correct_col: str |
         return df.groupBy(*group).agg(*_aggregates(correct_col, tokens, F.lit(True)))
     real = F.lit(True)
     if tasks is not None:
-        df = tasks.select(*group, task_col).distinct().join(df.withColumn("_real", F.lit(True)), [*group, task_col], "left")
-        real = F.coalesce(F.col("_real"), F.lit(False))
+        (has,) = unused(df.columns, "real")
+        df = tasks.select(*group, task_col).distinct().join(df.withColumn(has, F.lit(True)), [*group, task_col], "left")
+        real = F.coalesce(F.col(has), F.lit(False))
     by_task = df.groupBy(*group, task_col).agg(*_aggregates(correct_col, tokens, real))
     means = [F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in RATES] + [F.avg(c).alias(c) for c in OPTIONAL]
     return by_task.groupBy(*group).agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"), *means)
 
 
 def with_results(parsed: DataFrame, results: DataFrame, on: Sequence[str] = ("task_id", "sample_id"), correct_col: str = "correct") -> DataFrame:
-    """Parsed responses with their results joined by key; a key on one side only is an error."""
-    left, right = parsed.withColumn("_l", F.lit(1)), results.select(*on, correct_col).withColumn("_r", F.lit(1))
-    both = left.join(right, list(on), "full_outer")
+    """Parsed responses with their results joined by key; a key on one side only is an error.
+
+    One column named ``correct_col`` comes out, that of ``results``.
+    """
+    l_has, r_has = unused([*parsed.columns, *results.columns], "left", "right")
+    left = parsed.drop(*[c for c in [correct_col] if c not in on]).withColumn(l_has, F.lit(1))
+    both = left.join(results.select(*on, correct_col).withColumn(r_has, F.lit(1)), list(on), "full_outer")
     bad = F.raise_error(F.lit("responses and results do not match"))
-    ok = F.when(F.col("_l").isNull() | F.col("_r").isNull(), bad.cast("boolean")).otherwise(F.col(correct_col))
-    return both.withColumn(correct_col, ok).drop("_l", "_r")
+    ok = F.when(F.col(l_has).isNull() | F.col(r_has).isNull(), bad.cast("boolean")).otherwise(F.col(correct_col))
+    return both.withColumn(correct_col, ok).drop(l_has, r_has)
 
 
 def short_names(stats: DataFrame) -> DataFrame:

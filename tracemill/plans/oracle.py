@@ -80,7 +80,7 @@ def _prefixes() -> str:
             "forced": with_tag,
             "without": shut,
         }
-        cols += [f"right({e}, 60) as {spec.name}_{n}" for n, e in made.items()]
+        cols += [f"md5({e}) as {spec.name}_{n}" for n, e in made.items()]
     one, two = (_prompts(views.TURNS, s, reasoning=False, generate=True) for s in (PLAIN, PREFIXED))
     return f"select conv_id, {', '.join(cols)} from (select a.conv_id, a.prompt as plain, b.prompt as prefixed from ({one}) a join ({two}) b on a.conv_id = b.conv_id) p"
 
@@ -127,9 +127,11 @@ def _strategies() -> str:
     return f"select b.conv_id, {cols} from ({base}) b {joins}"
 
 
-_LETTER = """coalesce(
-  nullif(regexp_extract(u, '(?:ANSWER|CHOICE)\\s*(?:IS|:)\\s*([A-Z])\\b', 1), ''), nullif(regexp_extract(u, '\\\\BOXED\\{([A-Z])\\}', 1), ''),
-  nullif(regexp_extract(u, '\\b([A-Z])\\s*[.\\):]?\\s*$', 1), ''), nullif(regexp_extract(right(u, 200), '\\b([A-Z])[.:\\)\\]]\\s+\\S+.*$', 1), ''),
+#: A letter that stands alone, with edges told by all letters and digits.
+_EDGE = r"(?:^|[^\p{L}\p{N}_])"
+_LETTER = f"""coalesce(
+  nullif(regexp_extract(u, '(?:ANSWER|CHOICE)\\s*(?:IS|:)\\s*([A-Z])(?:$|[^\\p{{L}}\\p{{N}}_])', 1), ''), nullif(regexp_extract(u, '\\\\BOXED\\{{([A-Z])\\}}', 1), ''),
+  nullif(regexp_extract(u, '{_EDGE}([A-Z])\\s*[.\\):]?\\s*$', 1), ''), nullif(regexp_extract(right(u, 200), '{_EDGE}([A-Z])[.:\\)\\]]\\s+\\S+.*$', 1), ''),
   nullif(regexp_extract(right(u, 200), '[\\(\\[]([A-Z])[\\)\\]]', 1), ''))"""
 _CHOSEN = f"select *, coalesce(trim(answer) <> '' and letter = upper(trim(expected)), false) as right_letter from (select *, {_LETTER} as letter from (select *, upper(answer) as u from ({views.CHOICES}) c) d) e"
 
@@ -200,4 +202,16 @@ ORACLE_SQL = {
     "metrics_json": _JSON,
     "stream_rates": f"select time_bucket(interval '1 hour', ts) as window_start, count(*) as total, {_rates()} from ({_parsed(views.STREAMED)}) p group by 1",
 }
+_VALUES = lambda names, rows: f"select * from (values {', '.join(rows)}) v({names})"
+ORACLE_SQL |= {
+    "parse_prompt_not_prefixed": f"select {_SPLIT} from ({_parsed(views.PROMPTED)}) p",
+    "records_jsonl": views.RECORDS,
+    "sequences_sink": f"select ids, labels, length from ({_masked(views.TRAIN_TURNS, PLAIN, 2)}) m",
+    "metrics_sink": f"select count(*) as total, {_rates()} from ({_P}) p",
+    "sources_in_memory": _VALUES("task_id, sample_id, answer, reasoning", ["(0, 0, 'b', 'a')", "(0, 1, 'c', '')", "(2, 0, '', 'd')", "(-1, 0, 'e', '')"]),
+    "dataset_names": _VALUES("name, path", ["('chemistry', 'data/chemistry_256.jsonl')", "('gsm8k', 'data/gsm8k_256.jsonl')", "('evalplus', 'data/evalplus_256.jsonl')", "('/data/own.jsonl', '/data/own.jsonl')"]),
+    "profile_settings": _VALUES("profile, setting, value", ["('small', 'epochs', 1.0::double)", "('small', 'rate', 0.5::double)", "('unknown', 'epochs', 3.0::double)", "('unknown', 'rate', 0.5::double)"]),
+    "option_checks": _VALUES("name, holds", ["('thought without block', true)", "('reply without prompt', true)", "('block without prompt', true)", "('reply with prompt', false)", "('no model', true)", "('template', false)", "('code not allowed', true)", "('found once', true)"]),
+    "code_scores": "select distinct cast(doc_id % 40 as int) as task_id, cast(doc_id % 40 as int) % 10 = 3 as correct from documents",
+}
 assert set(TEMPLATES) == {"plain", "prefixed", "stripping", "bracket"}

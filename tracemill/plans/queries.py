@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from tracemill.functions.sql import register
 from tracemill.functions.tokenizers import CodePoints, Words
 from tracemill.operators import distill, mask, model, score
-from tracemill.operators.chat import apply_chat_templates
+from tracemill.operators.chat import apply_chat_templates, inject_prefixes
 from tracemill.operators.mask import MaskType, apply_mask, label_counts
-from tracemill.operators.model import BRACKET, PLAIN, PREFIXED, STRIPPING, TEMPLATES, ModelInfo, TagStyle, detect_model
+from tracemill.operators.model import BRACKET, PLAIN, PREFIXED, STRIPPING, TEMPLATES, ModelInfo, TagStyle, detect_model, get_model_info
 from tracemill.operators.parse import FLAGS, parse, parse_array, parsed_by_model
 from tracemill.operators.stats import OPTIONAL, RATES, compute_stats, short_names, with_results
 from tracemill.plans import views
@@ -235,20 +235,14 @@ def chat_bracket(spark, sf_dir):
 @query
 def chat_prefixes(spark, sf_dir):
     rows = _bare(spark, sf_dir).withColumn("start", F.concat(F.lit("Okay, "), F.col("conv_id").cast("string")))
-    out = {
-        "think": {"think_prefix": F.col("start")},
-        "reply": {"response_prefix": "Answer:"},
-        "both": {"think_prefix": "Okay, ", "response_prefix": "Answer:"},
-        "closed": {"response_prefix": "Answer:", "add_generation_reasoning": False},
-        "forced": {"add_generation_reasoning": True},
-        "without": {"add_generation_reasoning": False},
-    }
-    cols: list[str] = []
+    okay, answer = F.lit("Okay, "), F.lit("Answer:")
+    out = {"think": (F.col("start"), None, None), "reply": (None, answer, None), "both": (okay, answer, None), "closed": (None, answer, False), "forced": (None, None, True), "without": (None, None, False)}
+    # each template's text is rendered once, and seeded six times
     for spec in (PLAIN, PREFIXED):
-        for name, options in out.items():
-            cols.append(f"{spec.name}_{name}")
-            rows = apply_chat_templates(rows, spec, output=cols[-1], add_generation_prompt=True, **options)
-    return rows.select("conv_id", *[F.right(c, F.lit(60)).alias(c) for c in cols])
+        rows = apply_chat_templates(rows, spec, output=f"{spec.name}_prompt", add_generation_prompt=True)
+    cols = [inject_prefixes(F.col(f"{spec.name}_prompt"), get_model_info(spec), *seed).alias(f"{spec.name}_{name}") for spec in (PLAIN, PREFIXED) for name, seed in out.items()]
+    digests = rows.select("conv_id", *cols)
+    return digests.select("conv_id", *[F.md5(F.col(c).cast("binary")).alias(c) for c in digests.columns[1:]])
 
 
 @query
@@ -297,10 +291,11 @@ _mask_query("mask_inject_empty", views.BARE_TRAIN_TURNS, masked=MaskType.THINK)
 def mask_strategies(spark, sf_dir):
     """Masked and trainable labels by training strategy."""
     rows = _convs(spark, sf_dir, views.TRAIN_TURNS)
-    for name, flags in mask.STRATEGIES.items():
+    kinds = {flags: f"kind_{i}" for i, flags in enumerate(dict.fromkeys(mask.STRATEGIES.values()))}
+    for flags, kind in kinds.items():  # what strategies share is masked once
         n = label_counts(F.col("labels"))
-        rows = apply_mask(rows, PLAIN, masked=flags).withColumns({f"{name}_masked": n[0], f"{name}_trainable": n[1]}).drop("input_ids", "labels", "attention_mask")
-    return rows.drop("messages")
+        rows = apply_mask(rows, PLAIN, masked=flags).withColumns({f"{kind}_masked": n[0], f"{kind}_trainable": n[1]}).drop(*mask.SEQUENCE)
+    return rows.select("conv_id", *[F.col(f"{kinds[flags]}_{x}").alias(f"{name}_{x}") for name, flags in mask.STRATEGIES.items() for x in ("masked", "trainable")])
 
 
 @query
@@ -329,3 +324,113 @@ def stream_rates(spark, sf_dir):
     from tracemill.streaming.rates import windowed_rates
 
     return _rounded(windowed_rates(view(spark, sf_dir, views.STREAMED), THINK))
+
+
+@query
+def parse_prompt_not_prefixed(spark, sf_dir):
+    """A model that was prefixed and is told not to be goes by that, whatever the prompts end in."""
+    return parse(view(spark, sf_dir, views.PROMPTED), info=ModelInfo(True), prompt_col="prompt", add_generation_reasoning=False).select(*_SPLIT)
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder where the cluster shares files, or a temporary one of the tests."""
+    import tempfile
+    import uuid
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}" if shared else f"{tempfile.mkdtemp()}/{name}"
+
+
+@query
+def records_jsonl(spark, sf_dir):
+    """Records written as JSON lines and read by a schema."""
+    path = _folder(spark, "records")
+    view(spark, sf_dir, views.RECORDS).write.json(path)
+    return io.read_jsonl(spark, path, "record_id long, instruction string, response string, reasoning string")
+
+
+@query
+def sequences_sink(spark, sf_dir):
+    """Masked sequences written as a training file and read back."""
+    path = _folder(spark, "sequences")
+    io.write_sequences(apply_mask(_convs(spark, sf_dir, views.TRAIN_TURNS), PLAIN, masked=MaskType.THINK), path)
+    text: Callable[[str], Column] = lambda c: F.array_join(F.col(c).cast("array<string>"), " ")
+    return spark.read.parquet(path).select(text("input_ids").alias("ids"), text("labels").alias("labels"), F.size("attention_mask").alias("length"))
+
+
+@query
+def metrics_sink(spark, sf_dir):
+    """Metrics written as JSON and read back."""
+    path = _folder(spark, "metrics")
+    io.write_metrics(_rounded(compute_stats(parse(_responses(spark, sf_dir), info=THINK)).select("total", *RATES)), path)
+    return spark.read.schema("total long, " + ", ".join(f"{r} double" for r in RATES)).json(path)
+
+
+@query
+def sources_in_memory(spark, sf_dir):
+    """Lists of responses, nested by task and flat."""
+    nested = parse(io.from_nested(spark, [["<think>a</think>b", "c"], [], ["<think>d"]]), info=THINK)
+    flat = parse(io.from_flat(spark, ["<think></think>e"]), info=THINK).select(F.lit(-1).alias("task_id"), "sample_id", "answer", "reasoning")
+    return nested.select("task_id", "sample_id", "answer", "reasoning").unionByName(flat)
+
+
+@query
+def dataset_names(spark, sf_dir):
+    """What short names of evaluation sets stand for; anything else is a path."""
+    return spark.createDataFrame([(n, io.resolve(n)) for n in ("chemistry", "gsm8k", "evalplus", "/data/own.jsonl")], "name string, path string")
+
+
+@query
+def profile_settings(spark, sf_dir):
+    """A profile of a YAML file over its base."""
+    import tempfile
+    from pathlib import Path
+
+    path = Path(tempfile.mkdtemp()) / "profiles.yaml"
+    path.write_text("base:\n  epochs: 3\n  rate: 0.5\nsmall:\n  epochs: 1\n")
+    rows = [(p, k, float(v)) for p in ("small", "unknown") for k, v in sorted(io.read_profile(str(path), p, base="base").items())]
+    return spark.createDataFrame(rows, "profile string, setting string, value double")
+
+
+def _raises(f: Callable[[], object]) -> bool:
+    try:
+        f()
+    except ValueError:
+        return True
+    return False
+
+
+@query
+def option_checks(spark, sf_dir):
+    """Which combinations of options are refused, and whether a model's description is found once."""
+    rows = _responses(spark, sf_dir)
+    convs = _bare(spark, sf_dir)
+    cases = {
+        "thought without block": lambda: apply_chat_templates(convs, PLAIN, add_generation_reasoning=False, think_prefix="x"),
+        "reply without prompt": lambda: apply_chat_templates(convs, PLAIN, add_generation_prompt=False, response_prefix="x"),
+        "block without prompt": lambda: apply_chat_templates(convs, PLAIN, add_generation_prompt=False, add_generation_reasoning=True),
+        "reply with prompt": lambda: apply_chat_templates(convs, PLAIN, add_generation_prompt=True, response_prefix="x"),
+        "no model": lambda: parse(rows),
+        "template": lambda: parse(rows, template=PLAIN),
+        "code not allowed": lambda: score.code_passes(rows),
+    }
+    found = [(n, _raises(f)) for n, f in cases.items()] + [("found once", get_model_info(PLAIN) is get_model_info(PLAIN))]
+    return spark.createDataFrame(found, "name string, holds boolean")
+
+
+@query
+def code_scores(spark, sf_dir):
+    """Programs of answers run against their tests, where a table is one of code."""
+    rows = view(spark, sf_dir, views.PROGRAMS)
+    ran = score.code_passes(rows, allow_execution=score.is_code_dataset(rows) and not score.is_code_dataset(rows.drop("test_code")))
+    return ran.select("task_id", "correct")
+
+
+@query
+def mask_tokenizer_file(spark, sf_dir):
+    """Masked sequences of a tokenizer from a file; there is no SQL for BPE."""
+    import public_tokenizers
+
+    from tracemill.functions.tokenizers import TokenizerFile
+
+    return _sequence(apply_mask(_convs(spark, sf_dir, views.TRAIN_TURNS), PLAIN, masked=MaskType.PROMPT | MaskType.THINK, tokenizer=TokenizerFile(public_tokenizers.path("byte_bpe_50k.json"))))
