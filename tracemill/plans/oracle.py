@@ -133,7 +133,7 @@ _LETTER = f"""coalesce(
   nullif(regexp_extract(u, '(?:ANSWER|CHOICE)\\s*(?:IS|:)\\s*([A-Z])(?:$|[^\\p{{L}}\\p{{N}}_])', 1), ''), nullif(regexp_extract(u, '\\\\BOXED\\{{([A-Z])\\}}', 1), ''),
   nullif(regexp_extract(u, '{_EDGE}([A-Z])\\s*[.\\):]?\\s*$', 1), ''), nullif(regexp_extract(right(u, 200), '{_EDGE}([A-Z])[.:\\)\\]]\\s+\\S+.*$', 1), ''),
   nullif(regexp_extract(right(u, 200), '[\\(\\[]([A-Z])[\\)\\]]', 1), ''))"""
-_CHOSEN = f"select *, coalesce(trim(answer) <> '' and letter = upper(trim(expected)), false) as right_letter from (select *, {_LETTER} as letter from (select *, upper(answer) as u from ({views.CHOICES}) c) d) e"
+_CHOSEN = f"select *, coalesce(trim(answer) <> '' and letter = upper(trim(expected)), false) as right_letter from (select *, {_LETTER} as letter from (select *, replace(upper(answer), 'ẞ', 'SS') as u from ({views.CHOICES}) c) d) e"
 
 _MSG = {"null": "reasoning", "empty": "coalesce(reasoning, '')"}
 _MESSAGES = "select record_id, 'user' as role_0, instruction as content_0, cast(null as varchar) as reasoning_0, 'assistant' as role_1, response as content_1, {r} as reasoning_1 from ({src}) r"
