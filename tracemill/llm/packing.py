@@ -134,21 +134,18 @@ def pack(pieces: DataFrame, room: int = 1024, rounds: int = 2) -> DataFrame:
     """
     n = pieces.count()
     now = cut(_packed(pieces, room, 0, -(-n // PARTITION) or 1), "packed")
+    # a piece's row says how its partition did, and one piece of each bin lies at its start: no join, no distinct bins
+    gap, in_loose_bin, first = F.col("bins") > F.col("bound"), F.col("fill") < room, F.col("offset") == 0
     for turn in range(1, rounds + 1):
-        gaps = now.groupBy("round", "part").agg(F.first("bins").alias("bins"), F.first("bound").alias("bound")).filter("bins > bound")
-        if gaps.count() < 2:
+        found = now.filter(gap).agg(
+            F.count_distinct("round", "part").alias("parts"), F.count_if(in_loose_bin).alias("pieces"), F.count_if(in_loose_bin & first).alias("bins")
+        ).first()
+        if found["parts"] < 2 or not found["pieces"]:
             break
-        loose = now.join(gaps.select("round", "part"), ["round", "part"], "left_semi").filter(F.col("fill") < room)
-        m = loose.count()
-        if not m:
-            break
-        again = cut(_packed(loose, room, turn, -(-m // (PARTITION << turn))), "repacked")
-        many = lambda df: df.select("round", "part", "bin").distinct().count()
-        if many(again) >= many(loose):
+        again = cut(_packed(now.filter(gap & in_loose_bin), room, turn, -(-found["pieces"] // (PARTITION << turn))), "repacked")
+        if again.filter(first).count() >= found["bins"]:
             discard(again)
             break
-        rest = now.join(gaps.select("round", "part", F.lit(True).alias("gap")), ["round", "part"], "left")
-        rest = rest.filter(F.col("gap").isNull() | (F.col("fill") >= room)).drop("gap")
-        now = cut(rest.unionByName(again), "packed")
+        now = now.filter(~(gap & in_loose_bin)).unionByName(again)
     sequence = F.shiftleft(F.col("round").cast("long"), 58).bitwiseOR(F.shiftleft(F.col("part").cast("long"), 30)).bitwiseOR(F.col("bin"))
     return now.select("id", "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), "offset")
