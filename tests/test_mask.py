@@ -1,9 +1,13 @@
 from __future__ import annotations
 
 import itertools
+import types
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from tracemill.functions import tokenizers as column_tokenizers
 from tracemill.functions.tokenizers import CodePoints, TokenizerFile
 from tracemill.operators.mask import STRATEGIES, MaskType, apply_mask
 from tracemill.operators.model import PLAIN, PREFIXED, STRIPPING
@@ -83,3 +87,36 @@ def test_tokenizer_file(spark):
     tok = TokenizerFile(tokenizers.path("byte_bpe_50k.json"))
     row = apply_mask(io.from_conversations(spark, [conv("because")]), PLAIN, tokenizer=tok, masked=MaskType.RESPONSE).first()
     assert len(row["labels"]) == len(row["input_ids"]) and row["labels"][-1] == -100 and row["labels"][0] == row["input_ids"][0]
+
+
+def test_tokenizer_file_is_given_some_texts_at_a_time(spark, monkeypatch):
+    class Spy:
+        given = []
+
+        def encode_batch(self, texts, add_special_tokens):
+            self.given.append(sum(map(len, texts)))
+            return [types.SimpleNamespace(ids=[ord(c) for c in t]) for t in texts]
+
+        encode_batch_fast = encode_batch
+
+    monkeypatch.setitem(column_tokenizers._loaded, "spy", Spy())
+    texts = [None, "", "x" * 1_000_000, *["some words" * 300] * 1000, None]
+    got = list(column_tokenizers._ids("spy", pa.array(texts)))
+    assert [len(x) for x in got] == [len(t or "") for t in texts]
+    assert sorted(Spy.given)[-2] <= 1 << 18 and max(Spy.given) == 1_000_000
+
+
+def test_tokenizer_file_agrees_with_the_library(spark):
+    from tokenizers import Tokenizer
+
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    texts = [None, "", " two  words\n", "é😀", "a long one " * 40_000, *[f"number {i}" for i in range(2500)], None]
+    tok, text = TokenizerFile(path), F.col("text")
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    df = df.select("id", tok.encode(text).alias("ids"), tok.encode(text, 3).alias("three"), tok.count(text).alias("n"), tok.count(text, 3).alias("n3"))
+    plain = Tokenizer.from_file(path)
+    for row, t in zip(df.orderBy("id").collect(), texts, strict=True):
+        want = None if t is None else plain.encode(t, add_special_tokens=False).ids
+        assert (row["ids"], row["n"]) == (want, None if t is None else len(want))
+        # a null's count is at most the bound, as least() leaves nulls out
+        assert row["three"] == (None if t is None else want[:3]) and row["n3"] == (3 if t is None else min(3, len(want)))
