@@ -836,6 +836,34 @@ def test_common_seeds_are_lengthened(spark, monkeypatch):
     assert len(runs) == 59 and all(covered[i] >= set(range(p, p + 50)) for i, starts in runs.items() for p in starts)
 
 
+def test_common_seeds_are_counted_in_all_documents(spark, monkeypatch, tmp_path):
+    """Of 9,000 documents 45 are one in 200: the seeds of passages that 45 hold are common, of those that 44 hold none is."""
+    monkeypatch.setattr(chaining, "FLUSH", 100_000)
+    rng = np.random.default_rng(31)
+    draw = lambda n: [f"w{x}" for x in rng.integers(0, 10**7, n)]
+    passages = [draw(20) for _ in range(20)]
+    texts = [draw(55) for _ in range(9000)]
+    for i, p in enumerate(passages):
+        for t in rng.choice(9000, 45 - i % 2, replace=False):
+            texts[t] += [*p, *draw(2)]
+    lengthened = chaining.lengthened
+
+    def spy(common, *seeds):
+        np.save(tmp_path / "common.npy", common)
+        return lengthened(common, *seeds)
+
+    monkeypatch.setattr(chaining, "lengthened", spy)
+    chaining.repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)).count()
+    holders = collections.Counter()
+    for t in texts:
+        buf = np.frombuffer(" ".join(t).encode(), np.uint8)
+        hashes, counts = chaining._words(buf, np.array([0, len(buf)]))
+        holders.update(set(chaining.seeds(hashes, counts)[2].tolist()))
+    want = {h for h, n in holders.items() if n >= 45}
+    assert len(want) > 20 and sum(n == 44 for n in holders.values()) > 20
+    assert set(np.load(tmp_path / "common.npy").tolist()) == want
+
+
 def test_gaps_of_any_length():
     rng = np.random.default_rng(28)
     for n, m in ((0, 3), (5, 7), (200, 130), (900, 1100)):
