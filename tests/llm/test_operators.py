@@ -336,6 +336,37 @@ def test_pieces_are_the_librarys(texts, path, words_only):
         assert ids[at[i] : at[i + 1]].tolist() == encode(t), t
 
 
+def test_pieces_of_letters_and_symbols(monkeypatch):
+    """A word goes to the library once, whatever symbols follow it; the table of known words grows, and starts anew when full."""
+    rng = np.random.default_rng(32)
+    sent = []
+    encode_new = PieceEncoder._encode
+
+    def spy(self, new):
+        sent.extend(new)
+        return encode_new(self, new)
+
+    monkeypatch.setattr(PieceEncoder, "_encode", spy)
+    enc, encode = PieceEncoder(WORD, True), library(WORD)
+    ends = ["", "!", "$$$", "&&&", "?!", ",", "..."]
+    words = sorted({"".join(rng.choice(list("abdeinrstéßü"), rng.integers(3, 9))) for _ in range(40_000)})
+    all_texts = [" ".join(w + e for w in words[i : i + 100]) for i in range(0, len(words), 100) for e in ends]
+    ids, n = enc.encode(*_text.pack([t.encode() for t in all_texts]))
+    assert sorted(sent) == sorted({*words, *ends[1:]})
+    at = np.r_[0, np.cumsum(n)]
+    for i in range(0, len(all_texts), 20):
+        assert ids[at[i] : at[i + 1]].tolist() == encode(all_texts[i])
+    enc = PieceEncoder(WORD, True, most=1000)
+    assert all(enc.encode(*_text.pack([t.encode()]))[0].tolist() == encode(t) for t in all_texts[::7])
+    # odd neighbours of letters and symbols
+    alphabet = list("aeZé×ÉßÜªµ1_-='.,!$~\\ \t") + ["'s", "'ll", "\u0301", "\u0338", "\u0130", "\u01c5", "\u2019", "\u4e2d", "\x7f", "\x01", "\U0001f600"]
+    all_texts = ["".join(rng.choice(alphabet, rng.integers(1, 30))) for _ in range(3000)]
+    ids, n = PieceEncoder(WORD, True).encode(*_text.pack([t.encode() for t in all_texts]))
+    at = np.r_[0, np.cumsum(n)]
+    for i, t in enumerate(all_texts):
+        assert ids[at[i] : at[i + 1]].tolist() == encode(t), t
+
+
 def test_store(spark, docs, texts, no_docs):
     store = token_store.write_store(docs, WORD, True, 2)
     encode = library(WORD)
@@ -415,6 +446,19 @@ def test_crc_of_parts():
     assert got.tolist() == [zlib.crc32(b"".join(x)) for x in (raw[:2], raw[2:3], raw[3:])]
 
 
+def test_crc_of_many_parts(monkeypatch):
+    """Products are as few for wholes of thousands of parts as for others, also beyond 65,536 bytes."""
+    rng = np.random.default_rng(33)
+    raw = [rng.integers(0, 256, 4 * n, np.uint8).tobytes() for n in rng.integers(1, 60, 5000)]
+    crc, sizes = np.array([zlib.crc32(x) for x in raw]), np.array([len(x) for x in raw])
+    first = np.array([0, 1, 700, 720])
+    want = [zlib.crc32(b"".join(raw[a:b])) for a, b in zip(first, [*first[1:], len(raw)])]
+    assert token_store.crc_joined(crc, sizes, first).tolist() == want
+    times, made = token_store._gf_times, []
+    monkeypatch.setattr(token_store, "_gf_times", lambda a, b: made.append(1) or times(a, b))
+    assert token_store.crc_joined(crc, sizes, first).tolist() == want and len(made) <= 4
+
+
 def test_packing(docs, texts, no_docs):
     room = 64
     pieces = packing.cut_and_digest(docs, BYTE, False, 2, room)

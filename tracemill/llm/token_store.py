@@ -33,16 +33,17 @@ MOST_RANGES = 4096
 DIGEST = 16
 
 
-def boundaries(ids: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+def boundaries(ids: np.ndarray, counts: np.ndarray) -> list[list[int]]:
     """Ends of each document's chunks, from 0 at the document's first id.
 
     A chunk ends where the rolling hash of the last ``ROLL`` ids is zero in its low bits, at least
     ``LEAST`` ids after the last end; runs of more than ``MOST`` are cut at multiples of it.
     """
-    m = mix(ids.astype(np.uint64) + np.uint64(1))
-    h = m.copy()
-    for j in range(1, ROLL):
-        h[j:] += m[:-j] * np.uint64(pow(0x9E3779B97F4A7C15, j, 1 << 64))
+    h = mix(ids.astype(np.uint64) + np.uint64(1))
+    have = 1
+    while have < ROLL:  # windows of twice as many ids; ROLL is a power of two
+        h[have:] += h[:-have] * np.uint64(pow(0x9E3779B97F4A7C15, have, 1 << 64))
+        have *= 2
     marks = np.flatnonzero((h >> np.uint64(33)) % np.uint64(MEAN) == 0)
     stops = np.cumsum(counts)
     first = np.searchsorted(marks, stops - counts + ROLL - 1)  # a window never reaches into the document before
@@ -59,7 +60,7 @@ def boundaries(ids: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
                 if e > at:
                     ends.append(e)
                 at = e
-        out.append(np.array(ends, np.int64))
+        out.append(ends)
     return out
 
 
@@ -95,7 +96,6 @@ def _encoded(df: DataFrame, id_col: str, text_col: str, tokenizer: str, words_on
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, words_only)
         sent: set[bytes] = set()
-        struct = pa.struct([("digest", pa.binary()), ("ids", pa.binary())])
         for batch in batches:
             buf, offsets = buffers(batch.column(1))
             ids, n = enc.encode(buf, offsets)
@@ -104,26 +104,34 @@ def _encoded(df: DataFrame, id_col: str, text_col: str, tokenizer: str, words_on
             if len(closed) and int(closed.max()) >> (8 * width):
                 raise ValueError(f"id {int(closed.max())} does not fit into {width} bytes")
             raw = closed.astype(kind).tobytes()
-            digests, lengths, fresh = [], [], []
+            digests, ends_of, sizes = [], [], [0]
+            new_names, new_pieces, news = [], [], [0]
             begin = 0
             for ends, count in zip(boundaries(closed, counts), counts.tolist()):
-                names, new, at = [], [], 0
-                for e in ends.tolist():
-                    piece = raw[(begin + at) * width : (begin + e) * width]
+                names, at = [], begin * width
+                for e in ends:
+                    stop = (begin + e) * width
+                    piece = raw[at:stop]
                     name = digest(piece)
                     names.append(name)
                     if name not in sent:  # each task sends a chunk once: copies shrink before the shuffle
                         sent.add(name)
-                        new.append({"digest": name, "ids": piece})
-                    at = e
+                        new_names.append(name)
+                        new_pieces.append(piece)
+                    at = stop
+                    ends_of.append(begin + e)
                 digests.append(b"".join(names))
-                lengths.append(np.diff(ends, prepend=0).astype("<u4").tobytes())
-                fresh.append(new)
+                sizes.append(len(ends_of))
+                news.append(len(new_names))
                 begin += count
+            lengths = np.diff(np.array([0, *ends_of], np.int64)).astype("<u4").tobytes()
+            lengths = [lengths[4 * a : 4 * b] for a, b in zip(sizes[:-1], sizes[1:])]
+            fresh = pa.StructArray.from_arrays([pa.array(new_names, pa.binary()), pa.array(new_pieces, pa.binary())], names=["digest", "ids"])
+            fresh = pa.ListArray.from_arrays(pa.array(news, pa.int32()), fresh)
             if len(sent) > 2_000_000:
                 sent.clear()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts), pa.array(digests, pa.binary()), pa.array(lengths, pa.binary()), pa.array(fresh, pa.list_(struct))],
+                [batch.column(0), pa.array(counts), pa.array(digests, pa.binary()), pa.array(lengths, pa.binary()), fresh],
                 names=["id", "n_tokens", "digests", "lengths", "fresh"],
             )
 
@@ -263,27 +271,35 @@ def _gf_times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+_zeros: list[np.ndarray] = []
+
+
 def _zeros_operator(n: np.ndarray) -> np.ndarray:
-    """x to the power of 8 n modulo CRC-32's polynomial."""
-    out, square = np.full(n.shape, 1 << 31, np.uint32), np.full(1, 1 << 23, np.uint32)  # 1 and x^8
-    n = n.astype(np.int64).copy()
+    """x to the power of 8 n modulo CRC-32's polynomial, by tables for 16 bits of n each."""
+    out, k = np.full(n.shape, 1 << 31, np.uint32), 0  # 1
+    n = n.astype(np.int64)
     while n.any():
-        out = np.where(n & 1, _gf_times(out, square), out)
-        square = _gf_times(square, square)
-        n >>= 1
+        if k == len(_zeros):
+            powers = np.full(1, 1 << 31, np.uint32)
+            square = _gf_times(_zeros[-1][-1:], _zeros[-1][1:2]) if k else np.full(1, 1 << 23, np.uint32)  # x^8 at first
+            while len(powers) < 1 << 16:
+                powers = np.concatenate([powers, _gf_times(powers, square)])
+                square = _gf_times(square, square)
+            _zeros.append(powers)
+        own = _zeros[k][n & 0xFFFF]
+        out = _gf_times(out, own) if k else own
+        n, k = n >> 16, k + 1
     return out
 
 
 def crc_joined(crc: np.ndarray, n_bytes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """CRC-32 of concatenations, from the CRCs and sizes of their parts; first: where each begins."""
-    n = np.diff(np.r_[first, len(crc)])
-    out = crc[first].astype(np.uint32)
-    shift = _zeros_operator(n_bytes)
-    for j in range(1, int(n.max()) if len(n) else 0):
-        more = np.flatnonzero(n > j)
-        at = first[more] + j
-        out[more] = _gf_times(out[more], shift[at]) ^ crc[at].astype(np.uint32)
-    return out
+    """CRC-32 of concatenations, from the CRCs and sizes of their parts; first: where each begins.
+
+    A part's CRC goes into the whole's times x^8 for each byte that follows it there."""
+    stop = np.r_[first[1:], len(crc)]
+    end = np.cumsum(n_bytes.astype(np.int64))
+    after = np.repeat(end[stop - 1], stop - first) - end
+    return np.bitwise_xor.reduceat(_gf_times(crc, _zeros_operator(after)), first)
 
 
 def read_digests(spark: SparkSession, store: Store) -> DataFrame:
@@ -299,12 +315,12 @@ def read_digests(spark: SparkSession, store: Store) -> DataFrame:
 
     def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            crcs = []
+            crcs, n = [], []
             for name, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if digest(ids) != name:
                     raise ValueError(f"chunk {name.hex()} does not hold what its name says")
-                crcs.append(zlib.crc32(np.frombuffer(ids, kind).astype("<u4").tobytes()))
-            n = [len(x) // width for x in batch.column(1).to_pylist()]
+                crcs.append(zlib.crc32(np.frombuffer(ids, kind).astype("<u4")))
+                n.append(len(ids) // width)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(crcs, pa.int64())], names=["digest", "n", "crc"])
 
     chunks = store.dataset(spark, "chunks").select("digest", "ids").mapInArrow(tested, "digest binary, n int, crc long")

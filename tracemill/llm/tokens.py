@@ -9,7 +9,8 @@ whole text.
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass
+import re
+from itertools import chain
 
 import numpy as np
 
@@ -24,22 +25,65 @@ _MARK[[ord(","), ord(".")]] = True
 #: First bytes of characters that can be white space (or separators) beyond the ASCII six.
 _EXOTIC = np.zeros(256, bool)
 _EXOTIC[[*range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: ASCII characters that are neither white space, letters, digits nor controls.
+_SYMBOL = np.zeros(256, bool)
+_SYMBOL[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+#: Words of these letters alone, which lower-casing and NFC leave letters.
+_letters_only = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+#: Such words that go to the library as one text, and pieces that go to it in one call.
+TOGETHER, CALL = 200, 4000
 
 
-@dataclass
 class _Known:
-    """Distinct pieces by hash, with their ids in one flat array."""
+    """Distinct pieces by hash in a table of open addresses, half full at most, with where their ids are in one flat array."""
 
-    hashes: np.ndarray
-    start: np.ndarray
-    count: np.ndarray
-    flat: np.ndarray
+    def __init__(self, bits: int = 16) -> None:
+        self.used = 0
+        self.keys = np.zeros(1 << bits, np.uint64)  # 0: free
+        self.start = np.zeros(1 << bits, np.int64)
+        self.count = np.zeros(1 << bits, np.int32)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(each hash's place, which hashes are not there); hashes are not 0."""
+        mask = len(self.keys) - 1
+        place = (h & np.uint64(mask)).astype(np.int64)
+        got = self.keys[place]
+        todo = np.flatnonzero(got != h)
+        got, lacking = got[todo], [todo[:0]]
+        while len(todo):
+            free = got == 0
+            lacking.append(todo[free])
+            todo = todo[~free]
+            at = (place[todo] + 1) & mask
+            place[todo], got = at, self.keys[at]
+            other = got != h[todo]
+            todo, got = todo[other], got[other]
+        return place, np.concatenate(lacking)
+
+    def add(self, h: np.ndarray, start: np.ndarray, count: np.ndarray) -> None:
+        """Distinct hashes that are not there yet."""
+        if 2 * (self.used + len(h)) > len(self.keys):
+            old, own = self, np.flatnonzero(self.keys)
+            new = _Known(int(4 * (self.used + len(h))).bit_length())
+            new.add(old.keys[own], old.start[own], old.count[own])
+            self.keys, self.start, self.count = new.keys, new.start, new.count
+        mask = len(self.keys) - 1
+        self.used += len(h)
+        todo, at = np.arange(len(h)), (h & np.uint64(mask)).astype(np.int64)
+        while len(todo):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = h[todo[free]]
+            won = free & (self.keys[at] == h[todo])
+            self.start[at[won]], self.count[at[won]] = start[todo[won]], count[todo[won]]
+            todo, at = todo[~won], (at[~won] + 1) & mask
 
 
 class PieceEncoder:
     """Ids of texts by a tokenizer of the library.
 
-    words_only: the tokenizer lower-cases and drops white space (word BPE); otherwise it is a
+    words_only: the tokenizer lower-cases, drops white space and parts letters from symbols (word BPE); otherwise it is a
     byte-level BPE in which one blank belongs to what follows. At most ``most`` distinct pieces are
     kept; beyond that the store starts anew.
     """
@@ -58,8 +102,8 @@ class PieceEncoder:
             self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     def _reset(self) -> None:
-        self.known = _Known(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(1 << 16, np.int32))
-        self.used = 0
+        self.known = _Known()
+        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, how many each has) of the UTF-8 texts between offsets."""
@@ -85,20 +129,17 @@ class PieceEncoder:
             # 0xC2 leads U+0080-00BF: only U+0085 and U+00A0 are white space
             odd[doc[(lead != 0xC2) | (follow == 0x85) | (follow == 0xA0)]] = True
         if self.words_only:
-            buf = np.where((buf >= 65) & (buf <= 90), buf + 32, buf).astype(np.uint8)
+            buf = _LOWER[buf]
         starts, ends, blank = self._pieces(buf, offsets)
-        doc = np.searchsorted(offsets, starts, side="right") - 1
         if odd.any():
-            keep = ~odd[doc]
-            starts, ends, blank, doc = starts[keep], ends[keep], blank[keep], doc[keep]
+            keep = ~odd[np.searchsorted(offsets, starts, side="right") - 1]
+            starts, ends, blank = starts[keep], ends[keep], blank[keep]
         h = span_hashes(buf, starts, ends)
         h = np.where(blank, mix(h + np.uint64(0x5851F42D4C957F2D)), h)
-        distinct, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        at = self._lookup(buf, distinct, starts[first], ends[first], blank[first])
-        at = at[inverse]
+        at = self._lookup(buf, np.maximum(h, np.uint64(1)), starts, ends, blank)
         start, count = self.known.start[at], self.known.count[at].astype(np.int64)
-        ids = self.known.flat[expand(start, count)]
-        per_doc = np.bincount(doc, count, n_docs).astype(np.int64)
+        ids = self.flat[expand(start, count)]
+        per_doc = np.diff(np.r_[0, np.cumsum(count)][np.searchsorted(starts, offsets)])
         if not odd.any():
             return ids, per_doc
         parts, cuts = [], np.r_[0, np.cumsum(per_doc)]
@@ -121,11 +162,13 @@ class PieceEncoder:
         edge[offsets] = True
         after_space = np.r_[True, space[:-1]] | edge[:-1]
         before_space = np.r_[space[1:], True] | edge[1:]
-        # a comma or full stop between a letter and white space is always a piece of its own
         letter = _LETTER[buf]
         lead = np.r_[np.uint8(0), buf[:-1]]
         letter |= (lead == 0xC3) & (buf >= 0x80) & (buf != 0x97) & (buf != 0xB7)
-        mark = _MARK[buf] & before_space & ~after_space & np.r_[False, letter[:-1]]
+        if self.words_only:  # what follows a letter and is neither letter, digit nor white space always begins a piece
+            mark = _SYMBOL[buf] & ~after_space & np.r_[False, letter[:-1]]
+        else:  # a comma or full stop between a letter and white space is always a piece of its own
+            mark = _MARK[buf] & before_space & ~after_space & np.r_[False, letter[:-1]]
         word_start = (~space & after_space) | mark
         word_end = ~space & (before_space | np.r_[mark[1:], False])
         starts, ends = np.flatnonzero(word_start), np.flatnonzero(word_end) + 1
@@ -149,56 +192,54 @@ class PieceEncoder:
         order = np.argsort(starts, kind="stable")
         return starts[order], ends[order], blank[order]
 
-    def _lookup(self, buf: np.ndarray, distinct: np.ndarray, starts: np.ndarray, ends: np.ndarray, blank: np.ndarray) -> np.ndarray:
-        if len(self.known.hashes) > self.most:
+    def _lookup(self, buf: np.ndarray, h: np.ndarray, starts: np.ndarray, ends: np.ndarray, blank: np.ndarray) -> np.ndarray:
+        """The place of each piece among the known ones; those that are not there are encoded."""
+        if self.known.used > self.most:
             self._reset()
-        k = self.known
-        at = np.searchsorted(k.hashes, distinct)
-        hit = k.hashes[np.minimum(at, len(k.hashes) - 1)] == distinct if len(k.hashes) else np.zeros(len(distinct), bool)
-        new = np.flatnonzero(~hit)
-        if len(new):
-            raw = buf.tobytes()
+        at, lacking = self.known.find(h)
+        if len(lacking):
+            distinct, first = np.unique(h[lacking], return_index=True)
+            new, raw = lacking[first], buf.tobytes()
             texts = [(" " if b else "") + raw[s:e].decode("utf-8") for s, e, b in zip(starts[new].tolist(), ends[new].tolist(), blank[new].tolist())]
-            flat, counts = self._encode(texts)
+            flat, begin, counts = self._encode(texts)
             need = self.used + len(flat)
-            if need > len(k.flat):
-                k.flat = np.concatenate([k.flat[: self.used], np.zeros(max(need, 2 * len(k.flat)) - self.used, np.int32)])
-            k.flat[self.used : need] = flat
-            begin = self.used + np.cumsum(counts) - counts
+            if need > len(self.flat):
+                self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(need, 2 * len(self.flat)) - self.used, np.int32)])
+            self.flat[self.used : need] = flat
+            self.known.add(distinct, self.used + begin, counts)
             self.used = need
-            where = np.searchsorted(k.hashes, distinct[new])
-            k.hashes = np.insert(k.hashes, where, distinct[new])
-            k.start = np.insert(k.start, where, begin)
-            k.count = np.insert(k.count, where, counts.astype(np.int32))
-            at = np.searchsorted(k.hashes, distinct)
+            at, _ = self.known.find(h)
         return at
 
-    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        counts = np.zeros(len(texts), np.int64)
-        parts: list[np.ndarray] = [np.zeros(0, np.int32)] * len(texts)
-        rest = range(len(texts))
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where each text's begin, how many each has)."""
+        begin, counts = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        flat: list[np.ndarray] = []
+        used, rest = 0, list(range(len(texts)))
         if self.words_only:  # letters only make one word each, whose last id has the mark of an end
-            plain = [i for i, t in enumerate(texts) if t.isascii() and t.isalpha()]
-            for a in range(0, len(plain), 4000):
-                own = plain[a : a + 4000]
-                ids = np.array(self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in own])], add_special_tokens=False)[0].ids, np.int32)
-                cuts = np.flatnonzero(self.ends[ids]) + 1
-                if len(cuts) != len(own):
-                    for i in own:
-                        parts[i] = np.array(self._whole(texts[i].encode()), np.int32)
-                    continue
-                for i, s, e in zip(own, [0, *cuts[:-1].tolist()], cuts.tolist()):
-                    parts[i] = ids[s:e]
-            done = set(plain)
-            rest = [i for i in rest if i not in done]
-        for a in range(0, len(rest), 4000):
-            own = rest[a : a + 4000]
-            for i, enc in zip(own, self.tokenizer.encode_batch_fast([texts[i] for i in own], add_special_tokens=False)):
-                parts[i] = enc.ids
-        for i, p in enumerate(parts):
-            counts[i] = len(p)
-        flat = np.concatenate([np.asarray(p, np.int32) for p in parts]) if parts else np.zeros(0, np.int32)
-        return flat, counts
+            plain = [i for i in rest if _letters_only(texts[i])]
+            done = np.zeros(len(texts), bool)
+            for a in range(0, len(plain), CALL):
+                groups = [plain[k : k + TOGETHER] for k in range(a, min(a + CALL, len(plain)), TOGETHER)]
+                joined = [" ".join([texts[i] for i in own]) for own in groups]
+                for own, enc in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+                    ids = np.array(enc.ids, np.int32)
+                    cuts = np.flatnonzero(self.ends[ids]) + 1
+                    if len(cuts) != len(own):
+                        continue
+                    before = np.r_[0, cuts[:-1]]
+                    done[own], begin[own], counts[own] = True, used + before, cuts - before
+                    flat.append(ids[: cuts[-1]])
+                    used += int(cuts[-1])
+            rest = np.flatnonzero(~done).tolist()
+        for a in range(0, len(rest), CALL):
+            own = rest[a : a + CALL]
+            each = [enc.ids for enc in self.tokenizer.encode_batch_fast([texts[i] for i in own], add_special_tokens=False)]
+            n = np.array([len(x) for x in each], np.int64)
+            counts[own], begin[own] = n, used + np.cumsum(n) - n
+            flat.append(np.fromiter(chain.from_iterable(each), np.int32, int(n.sum())))
+            used += int(n.sum())
+        return np.concatenate([np.zeros(0, np.int32), *flat]), begin, counts
 
 
 _encoders: dict[tuple[str, bool], PieceEncoder] = {}
