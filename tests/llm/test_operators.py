@@ -5,6 +5,8 @@ from __future__ import annotations
 import collections
 import hashlib
 import os
+import tracemalloc
+import weakref
 import zlib
 
 import duckdb
@@ -18,7 +20,7 @@ public = pytest.importorskip("public_tokenizers")
 
 from tracemill.llm import _text, chaining, html_text, language_id, metric_tree, minhash, packing, piece_lattice, queries, sharding, simhash, token_store  # noqa: E402
 from tracemill.llm.components import components  # noqa: E402
-from tracemill.llm.tokens import PieceEncoder  # noqa: E402
+from tracemill.llm.tokens import PieceEncoder, encoder  # noqa: E402
 
 WORD, BYTE, PIECE = (public.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
 
@@ -367,6 +369,43 @@ def test_pieces_of_letters_and_symbols(monkeypatch):
         assert ids[at[i] : at[i + 1]].tolist() == encode(t), t
 
 
+def test_known_pieces_take_little_memory():
+    """A worker's table of 1.2 million pieces and what encoding takes meanwhile stay far below an executor's share for one of its cores."""
+    rng = np.random.default_rng(33)
+    h = np.unique(rng.integers(1, 1 << 63, 1_200_000, dtype=np.uint64))
+    known = PieceEncoder(BYTE, False).known
+    for own in np.array_split(rng.permutation(h), 50):
+        known.add(own, own.astype(np.int64) >> 8, (own & np.uint64(0xFF)).astype(np.int32))
+    at, lacking = known.find(h)
+    assert not len(lacking) and (known.start[at] == h.astype(np.int64) >> 8).all() and (known.count[at] == (h & np.uint64(0xFF)).astype(np.int32)).all()
+    others = np.setdiff1d(rng.integers(1, 1 << 63, 10_000, dtype=np.uint64), h)
+    assert sorted(known.find(others)[1]) == list(range(len(others)))
+    assert sum(x.nbytes for x in vars(known).values() if isinstance(x, np.ndarray)) < 64 << 20
+    words = ["".join(rng.choice(list("abdeinrst"), 6)) for _ in range(1000)]
+    texts = [" ".join(rng.choice(words, 2000)).encode() for _ in range(250)]
+    enc, packed = PieceEncoder(BYTE, False), _text.pack(texts)
+    enc.encode(*_text.pack(texts[:50]))
+    tracemalloc.start()
+    enc.encode(*packed)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(packed[0]) > 3 << 20 and most < 24 * len(packed[0])
+
+
+def test_worker_keeps_tables_of_one_operator_only(docs, monkeypatch):
+    """A tokenizer's tables, which a worker keeps from task to task, go when it works for another operator."""
+    tasks, original = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, *a, **b: tasks.append(f) or original(self, f, *a, **b))
+    simhash.add_fingerprints(docs)
+    language_id.identify(docs, language_id.fit([], 4))
+    assert len(tasks) == 2
+    for task in tasks:
+        kept = weakref.ref(encoder(BYTE, False))
+        assert encoder(BYTE, False) is kept()
+        list(task(iter([])))
+        assert kept() is None
+
+
 def test_store(spark, docs, texts, no_docs):
     store = token_store.write_store(docs, WORD, True, 2)
     encode = library(WORD)

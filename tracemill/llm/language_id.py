@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm._io import small_batches
+from tracemill.llm._io import small_batches, turn_to
 
 UNKNOWN = "und"
 #: Symbols that are scored at once, whatever a text's length.
@@ -386,6 +386,7 @@ def identify(df: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col:
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("language_id")
         model = shared.value
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()

@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm._io import cut, discard, small_batches
-from tracemill.llm._text import buffers
+from tracemill.llm._io import cut, discard, small_batches, turn_to
+from tracemill.llm._text import blocks, buffers
 from tracemill.llm.tokens import encoder
 
 #: Pieces of a partition on average, twice and four times as many in the rounds of exchange; what one task packs.
@@ -83,27 +83,28 @@ def cut_and_digest(df: DataFrame, tokenizer: str, words_only: bool, end_id: int,
         enc = encoder(tokenizer, words_only)
         for batch in batches:
             buf, offsets = buffers(batch.column(2))
-            ids, n = enc.encode(buf, offsets)
-            counts = n + 1
-            raw = memoryview(np.insert(ids, np.cumsum(n), end_id).astype("<u4").tobytes())
-            doc, piece, start, length, crc = [], [], [], [], []
-            begin = 0
-            for d, count in enumerate(counts.tolist()):
-                at, k = 0, 0
-                while at < count:
-                    to = at + ((count % room or room) if not at else room)
-                    doc.append(d)
-                    piece.append(k)
-                    start.append(at)
-                    length.append(to - at)
-                    crc.append(zlib.crc32(raw[4 * (begin + at) : 4 * (begin + to)]))
-                    at, k = to, k + 1
-                begin += count
-            take = pa.array(doc, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-                names=["id", "copy", "piece", "start", "length", "ids_crc32"],
-            )
+            for first, last in blocks(offsets):
+                ids, n = enc.encode(buf[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+                counts = n + 1
+                raw = memoryview(np.insert(ids, np.cumsum(n), end_id).astype("<u4").tobytes())
+                doc, piece, start, length, crc = [], [], [], [], []
+                begin = 0
+                for d, count in enumerate(counts.tolist(), first):
+                    at, k = 0, 0
+                    while at < count:
+                        to = at + ((count % room or room) if not at else room)
+                        doc.append(d)
+                        piece.append(k)
+                        start.append(at)
+                        length.append(to - at)
+                        crc.append(zlib.crc32(raw[4 * (begin + at) : 4 * (begin + to)]))
+                        at, k = to, k + 1
+                    begin += count
+                take = pa.array(doc, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+                    names=["id", "copy", "piece", "start", "length", "ids_crc32"],
+                )
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("copy"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "id long, copy long, piece int, start long, length long, ids_crc32 long")
@@ -114,6 +115,7 @@ _PACKED = "id long, copy long, piece int, start long, length long, ids_crc32 lon
 
 def _packed(pieces: DataFrame, room: int, turn: int, parts: int) -> DataFrame:
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        turn_to("packing")
         lengths = rows["length"].to_numpy()
         bins, offsets = best_fit_decreasing(lengths, room)
         rows = rows[["id", "copy", "piece", "start", "length", "ids_crc32"]].copy()

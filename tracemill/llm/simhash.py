@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm._io import cut, small_batches
+from tracemill.llm._io import cut, small_batches, turn_to
 from tracemill.llm.components import components
 
 #: (first bit, bits) of the ring's segments, and how many bits two fingerprints may differ in.
@@ -78,6 +78,7 @@ def add_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("simhash")
         for batch in batches:
             fp = fingerprints(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
@@ -199,6 +200,7 @@ def ring_links(distinct: DataFrame, level: int | None = None) -> DataFrame:
         return pa.RecordBatch.from_arrays([cat(one), cat(two)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("simhash")
         held: list[list[np.ndarray]] = []
         for batch in batches:
             if not batch.num_rows:

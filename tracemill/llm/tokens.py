@@ -14,6 +14,7 @@ from itertools import chain
 
 import numpy as np
 
+from tracemill.llm._io import turn_to
 from tracemill.llm._text import blocks, expand, mix, span_hashes
 
 _SPACE = np.zeros(256, bool)
@@ -34,58 +35,64 @@ _SYMBOL[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = Tr
 _letters_only = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 #: Such words that go to the library as one text, and pieces that go to it in one call.
 TOGETHER, CALL = 200, 4000
+#: Bytes of texts that are cut into pieces at once; what that takes meanwhile is about 60 times as much.
+BLOCK = 1 << 19
 
 
 class _Known:
-    """Distinct pieces by hash in a table of open addresses, half full at most, with where their ids are in one flat array."""
+    """Distinct pieces: their hashes, where their ids begin in one flat array and how many they are, in rows from 1 on, and a table
+    of open addresses, a fourth to half full, with the rows' numbers."""
 
-    def __init__(self, bits: int = 16) -> None:
+    def __init__(self) -> None:
         self.used = 0
-        self.keys = np.zeros(1 << bits, np.uint64)  # 0: free
-        self.start = np.zeros(1 << bits, np.int64)
-        self.count = np.zeros(1 << bits, np.int32)
+        self.places = np.zeros(1 << 16, np.int32)  # 0: free
+        self.keys = np.zeros(1 << 15, np.uint64)
+        self.start = np.zeros(1 << 15, np.int64)
+        self.count = np.zeros(1 << 15, np.int32)
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(each hash's place, which hashes are not there); hashes are not 0."""
-        mask = len(self.keys) - 1
+        """(each hash's row, which hashes are not there); hashes are not 0."""
+        mask = len(self.places) - 1
         place = (h & np.uint64(mask)).astype(np.int64)
-        got = self.keys[place]
-        todo = np.flatnonzero(got != h)
-        got, lacking = got[todo], [todo[:0]]
+        row = self.places[place]
+        todo = np.flatnonzero(self.keys[row] != h)
+        lacking = [todo[:0]]
         while len(todo):
-            free = got == 0
+            free = row[todo] == 0
             lacking.append(todo[free])
             todo = todo[~free]
             at = (place[todo] + 1) & mask
-            place[todo], got = at, self.keys[at]
-            other = got != h[todo]
-            todo, got = todo[other], got[other]
-        return place, np.concatenate(lacking)
+            place[todo], row[todo] = at, self.places[at]
+            todo = todo[self.keys[row[todo]] != h[todo]]
+        return row, np.concatenate(lacking)
 
     def add(self, h: np.ndarray, start: np.ndarray, count: np.ndarray) -> None:
         """Distinct hashes that are not there yet."""
-        if 2 * (self.used + len(h)) > len(self.keys):
-            old, own = self, np.flatnonzero(self.keys)
-            new = _Known(int(4 * (self.used + len(h))).bit_length())
-            new.add(old.keys[own], old.start[own], old.count[own])
-            self.keys, self.start, self.count = new.keys, new.start, new.count
-        mask = len(self.keys) - 1
+        rows = np.arange(self.used + 1, self.used + len(h) + 1, dtype=np.int32)
         self.used += len(h)
-        todo, at = np.arange(len(h)), (h & np.uint64(mask)).astype(np.int64)
-        while len(todo):
-            free = self.keys[at] == 0
-            self.keys[at[free]] = h[todo[free]]
-            won = free & (self.keys[at] == h[todo])
-            self.start[at[won]], self.count[at[won]] = start[todo[won]], count[todo[won]]
-            todo, at = todo[~won], (at[~won] + 1) & mask
+        if self.used >= len(self.keys):
+            for x in (self.keys, self.start, self.count):
+                x.resize(max(self.used + 1, len(x) * 5 // 4), refcheck=False)
+        self.keys[rows], self.start[rows], self.count[rows] = h, start, count
+        if 2 * self.used > len(self.places):
+            self.places = np.zeros(0, np.int32)  # the old one goes first
+            self.places = np.zeros(1 << (2 * self.used).bit_length(), np.int32)
+            rows = np.arange(1, self.used + 1, dtype=np.int32)
+        mask = len(self.places) - 1
+        at = (self.keys[rows] & np.uint64(mask)).astype(np.int64)
+        while len(rows):
+            free = self.places[at] == 0
+            self.places[at[free]] = rows[free]
+            lost = self.places[at] != rows
+            rows, at = rows[lost], (at[lost] + 1) & mask
 
 
 class PieceEncoder:
     """Ids of texts by a tokenizer of the library.
 
     words_only: the tokenizer lower-cases, drops white space and parts letters from symbols (word BPE); otherwise it is a
-    byte-level BPE in which one blank belongs to what follows. At most ``most`` distinct pieces are
-    kept; beyond that the store starts anew.
+    byte-level BPE in which one blank belongs to what follows. About ``most`` distinct pieces are
+    kept, and eight ids for each; beyond that the store starts anew.
     """
 
     def __init__(self, path: str, words_only: bool, most: int = 1_500_000):
@@ -108,7 +115,7 @@ class PieceEncoder:
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, how many each has) of the UTF-8 texts between offsets."""
         ids, counts = [], []
-        for a, b in blocks(offsets):
+        for a, b in blocks(offsets, BLOCK):
             got = self._block(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             ids.append(got[0])
             counts.append(got[1])
@@ -193,8 +200,8 @@ class PieceEncoder:
         return starts[order], ends[order], blank[order]
 
     def _lookup(self, buf: np.ndarray, h: np.ndarray, starts: np.ndarray, ends: np.ndarray, blank: np.ndarray) -> np.ndarray:
-        """The place of each piece among the known ones; those that are not there are encoded."""
-        if self.known.used > self.most:
+        """The row of each piece among the known ones; those that are not there are encoded."""
+        if self.known.used > self.most or self.used > 8 * self.most:
             self._reset()
         at, lacking = self.known.find(h)
         if len(lacking):
@@ -204,7 +211,7 @@ class PieceEncoder:
             flat, begin, counts = self._encode(texts)
             need = self.used + len(flat)
             if need > len(self.flat):
-                self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(need, 2 * len(self.flat)) - self.used, np.int32)])
+                self.flat.resize(max(need, len(self.flat) * 5 // 4), refcheck=False)
             self.flat[self.used : need] = flat
             self.known.add(distinct, self.used + begin, counts)
             self.used = need
@@ -242,11 +249,9 @@ class PieceEncoder:
         return np.concatenate([np.zeros(0, np.int32), *flat]), begin, counts
 
 
-_encoders: dict[tuple[str, bool], PieceEncoder] = {}
-
-
 def encoder(path: str, words_only: bool) -> PieceEncoder:
     """This worker's encoder of a tokenizer file."""
-    if (path, words_only) not in _encoders:
-        _encoders[path, words_only] = PieceEncoder(path, words_only)
-    return _encoders[path, words_only]
+    kept = turn_to("tokens")
+    if (path, words_only) not in kept:
+        kept[path, words_only] = PieceEncoder(path, words_only)
+    return kept[path, words_only]
